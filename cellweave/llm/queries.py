@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, sharding
+from . import bpe, minhash, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -13,9 +13,30 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op5_bpe)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), quality.fold(F.col("doc_id"), 5) == 0
+    scored = toxicity.score(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), quality.fold(F.col("doc_id"), 4) == 2
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), "quality", ~held_out))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar")
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_minhash, op5_bpe, op6_toxicity, op7_quality, op10_secrets)}
 ORACLES: dict[str, str] = {}
