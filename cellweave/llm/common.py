@@ -14,6 +14,8 @@ SLICE_BYTES = 4 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII characters other than letters and digits.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -25,16 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and return it without its lineage.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that is unset,
-    as in tests, is a temporary one chosen.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only where that is unset, as in tests, a temporary one."""
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cellweave-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and return it without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -80,15 +85,15 @@ def slices(batch, column: int = 1, most: int = SLICE_BYTES):
         first = last
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes other than ASCII white space: (starts, ends, first word of each text).
+def words(data: np.ndarray, at: np.ndarray, gaps: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes that aren't in gaps (ASCII white space): (starts, ends, first word of each text).
 
     The last result has one more entry than there are texts.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    solid = ~_WHITE[data]
+    solid = ~gaps[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     begin = solid.copy()
@@ -126,3 +131,15 @@ def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     inside = np.flatnonzero(text[:m] == text[n - 1 : n - 1 + m])
     return g[inside], inside
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A record batch as compressed Arrow bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(raw) -> list[pa.RecordBatch]:
+    return list(pa.ipc.open_stream(raw))
