@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, minhash, neighbours, quality, secrets, sharding, toxicity
+from . import bpe, decontaminate, html, minhash, neighbours, quality, secrets, sharding, substrings, toxicity
 from .common import table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_minhash, op4_neighbours, op5_bpe, op6_toxicity, op7_quality, op8_html, op9_decontaminate, op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_sharding, op3_minhash, op4_neighbours, op5_bpe, op6_toxicity, op7_quality, op8_html, op9_decontaminate, op10_secrets, pipeline)}
 ORACLES: dict[str, str] = {}
