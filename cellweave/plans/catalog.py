@@ -1,4 +1,411 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries over the driver's tables, and the same in SQL.
 
+The clouds are the rows of each label of ``embeddings``, in the plane of two of its numbers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import barcodes, spectra
+from ..operators import analysis, boundary, components, hyperdigraph, interaction, points as P, simplicial as X
+
+RADIUS = 0.15
+SCALES = [0.03, 0.06, 0.09, 0.12, 0.15]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def clouds(spark: SparkSession, sf_dir: str, first: int = 1) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    return P.points(e, F.col("label"), F.col("vec_id"), F.slice("embedding", first, 2), (F.col("vec_id") % 3))
+
+
+def _scales(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in SCALES], "scale double")
+
+
+def _text(c: str):
+    return F.concat_ws("-", F.transform(c, lambda v: v.cast("string")))
+
+
+POINTS = "p AS (SELECT label, vec_id, embedding[1]::DOUBLE x, embedding[2]::DOUBLE y, embedding[3]::DOUBLE z, embedding[4]::DOUBLE w FROM embeddings)"
+EDGES = POINTS + f""", e AS (SELECT a.label, a.vec_id s, b.vec_id t, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) d
+  FROM p a JOIN p b ON a.label=b.label AND a.vec_id<b.vec_id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))<={RADIUS})"""
+EDGES2 = f""", e2 AS (SELECT a.label, a.vec_id s, b.vec_id t, sqrt((a.z-b.z)*(a.z-b.z)+(a.w-b.w)*(a.w-b.w)) d
+  FROM p a JOIN p b ON a.label=b.label AND a.vec_id<b.vec_id WHERE sqrt((a.z-b.z)*(a.z-b.z)+(a.w-b.w)*(a.w-b.w))<={RADIUS})"""
+TRIANGLES = EDGES + """, t AS (SELECT e1.label, e1.s a, e1.t b, e2.t c, greatest(e1.d, e2.d, e3.d) d FROM e e1 JOIN e e2 ON e1.label=e2.label AND e1.t=e2.s
+  JOIN e e3 ON e1.label=e3.label AND e3.s=e1.s AND e3.t=e2.t)"""
+ROOTS = """, r AS (SELECT label, vec_id v, vec_id u FROM p UNION SELECT r.label, r.v, CASE WHEN e.s=r.u THEN e.t ELSE e.s END FROM r JOIN e ON e.label=r.label AND (e.s=r.u OR e.t=r.u)),
+  roots AS (SELECT label, v, min(u) root FROM r GROUP BY 1,2), c AS (SELECT label, count(DISTINCT root) n FROM roots GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {TRIANGLES}{ROOTS} SELECT p.label topology_id, count(*) n_vertices, coalesce(any_value(x.n),0) n_edges, coalesce(any_value(y.n),0) n_triangles, any_value(c.n) betti_0,
+  count(*)-coalesce(any_value(x.n),0)+coalesce(any_value(y.n),0) euler FROM p LEFT JOIN (SELECT label, count(*) n FROM e GROUP BY 1) x USING(label)
+  LEFT JOIN (SELECT label, count(*) n FROM t GROUP BY 1) y USING(label) JOIN c USING(label) GROUP BY p.label""")
+def rips_summary(spark, sf_dir):
+    """Cell counts, components and Euler characteristic of the Rips complex of each label."""
+    pts = clouds(spark, sf_dir)
+    edges = P.pairs(pts, RADIUS)
+    cells = X.flag_complex(X.graph_complex(X.vertices_of(pts), edges), 2)
+    n = lambda d: F.count_if(F.col("dim") == d)
+    roots = components.components(pts.select("cloud_id", F.col("point_id").alias("v")), edges)
+    b0 = roots.groupBy(F.col("cloud_id").alias("topology_id")).agg(F.count_distinct("root").alias("betti_0"))
+    return cells.groupBy("topology_id").agg(n(0).alias("n_vertices"), n(1).alias("n_edges"), n(2).alias("n_triangles"), (n(0) - n(1) + n(2)).alias("euler")).join(b0, "topology_id").select("topology_id", "n_vertices", "n_edges", "n_triangles", "betti_0", "euler")
+
+
+@query(f"WITH {EDGES} SELECT label cloud_id, s src, t dst, round(d, 6) birth FROM e")
+def rips_edges(spark, sf_dir):
+    """Radius join of each cloud through a grid."""
+    return P.pairs(clouds(spark, sf_dir), RADIUS).withColumn("birth", F.round("birth", 6))
+
+
+@query(f"WITH {TRIANGLES} SELECT label topology_id, a||'-'||b||'-'||c cell, round(d, 6) birth FROM t")
+def rips_triangles(spark, sf_dir):
+    """Clique expansion: the triangles of the Rips complex."""
+    return X.rips_complex(clouds(spark, sf_dir), 2, RADIUS).where("dim = 2").select("topology_id", _text("cell").alias("cell"), F.round("birth", 6).alias("birth"))
+
+
+@query(f"WITH {TRIANGLES} SELECT label topology_id, count(*) n, round(sum(d), 4) births FROM (SELECT t.label, greatest(t.d, e1.d, e2.d, e3.d) d FROM t JOIN e e1 ON e1.label=t.label AND e1.s=t.c JOIN e e2 ON e2.label=t.label AND e2.s=t.b AND e2.t=e1.t JOIN e e3 ON e3.label=t.label AND e3.s=t.a AND e3.t=e1.t) GROUP BY 1")
+def rips_tetrahedra(spark, sf_dir):
+    """Counts and births of the 3-cells of the Rips complex."""
+    return X.rips_complex(clouds(spark, sf_dir), 3, RADIUS).where("dim = 3").groupBy("topology_id").agg(F.count("*").alias("n"), F.round(F.sum("birth"), 4).alias("births"))
+
+
+@query(f"WITH {TRIANGLES}, c AS (SELECT label, 0 dim, 0.0::DOUBLE d FROM p UNION ALL SELECT label, 1, d FROM e UNION ALL SELECT label, 2, d FROM t) SELECT label topology_id, s.scale, dim, count(*) n_cells FROM c JOIN (VALUES " + ",".join(f"({s}::DOUBLE)" for s in SCALES) + ") s(scale) ON d<=s.scale GROUP BY 1,2,3")
+def snapshot_counts(spark, sf_dir):
+    """Cells alive at each scale, by a range join with the scales."""
+    return X.snapshots(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS), _scales(spark)).groupBy("topology_id", "scale", "dim").agg(F.count("*").alias("n_cells"))
+
+
+@query(f"WITH {EDGES}, b AS (SELECT label, count(*) n FROM p GROUP BY 1), x AS (SELECT label, count(*) m FROM e WHERE d<=0.1 GROUP BY 1) SELECT b.label topology_id, 0 dim, n n_cells FROM b UNION ALL SELECT label, 1, m FROM x")
+def skeleton_f_vector(spark, sf_dir):
+    """f-vector of the 1-skeleton after clamping births to [0, 0.1]."""
+    return X.f_vector(X.skeleton(X.clamp(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS), 0.0, 0.1), 1))
+
+
+@query(f"WITH {TRIANGLES} SELECT label topology_id, 1 dim, s::VARCHAR row_cell, s||'-'||t col_cell, -1 sign FROM e UNION ALL SELECT label, 1, t::VARCHAR, s||'-'||t, 1 FROM e UNION ALL SELECT label, 2, b||'-'||c, a||'-'||b||'-'||c, 1 FROM t UNION ALL SELECT label, 2, a||'-'||c, a||'-'||b||'-'||c, -1 FROM t UNION ALL SELECT label, 2, a||'-'||b, a||'-'||b||'-'||c, 1 FROM t")
+def boundary_entries(spark, sf_dir):
+    """Signed boundary matrix of the Rips complex as rows, columns and signs."""
+    b = boundary.boundary(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS))
+    return b.select("topology_id", "dim", _text("row_cell").alias("row_cell"), _text("col_cell").alias("col_cell"), "sign")
+
+
+@query("SELECT 0::BIGINT n_entries")
+def boundary_of_boundary(spark, sf_dir):
+    """Entries of the squared boundary that are not zero: there are none."""
+    return boundary.boundary_squared(boundary.boundary(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS))).agg(F.count("*").alias("n_entries"))
+
+
+@query(f"WITH {EDGES}, g AS (SELECT label, v, count(*) k FROM (SELECT label, s v FROM e UNION ALL SELECT label, t FROM e) GROUP BY 1,2) SELECT label topology_id, sum(k)::BIGINT \"trace\", sum(k*k+k)::BIGINT square FROM g GROUP BY 1")
+def l0_moments(spark, sf_dir):
+    """Sum and sum of squares of the eigenvalues of L_0, from its entries."""
+    pts = clouds(spark, sf_dir)
+    graph = X.graph_complex(X.vertices_of(pts), P.pairs(pts, RADIUS))
+    return boundary.moments(boundary.laplacian(graph, 0))
+
+
+@query(f"""WITH {TRIANGLES}, d AS (SELECT label, s||'-'||t i, s k, -1 g FROM e UNION ALL SELECT label, s||'-'||t, t, 1 FROM e),
+  u AS (SELECT label, b||'-'||c i, a||'-'||b||'-'||c k, 1 g FROM t UNION ALL SELECT label, a||'-'||c, a||'-'||b||'-'||c, -1 FROM t UNION ALL SELECT label, a||'-'||b, a||'-'||b||'-'||c, 1 FROM t),
+  m AS (SELECT x.label, x.i, y.i j, x.g*y.g v FROM d x JOIN d y ON x.label=y.label AND x.k=y.k UNION ALL SELECT x.label, x.i, y.i, x.g*y.g FROM u x JOIN u y ON x.label=y.label AND x.k=y.k),
+  l AS (SELECT label, i, j, sum(v) v FROM m GROUP BY 1,2,3) SELECT label topology_id, sum(CASE WHEN i=j THEN v ELSE 0 END)::BIGINT "trace", sum(v*v)::BIGINT square FROM l GROUP BY 1""")
+def l1_moments(spark, sf_dir):
+    """The same of L_1: both halves of the operator are joins of the boundary with itself."""
+    return boundary.moments(boundary.laplacian(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS), 1))
+
+
+@query(f"""WITH RECURSIVE {EDGES}{ROOTS}, g AS (SELECT label, v, count(*) k FROM (SELECT label, s v FROM e UNION ALL SELECT label, t FROM e) GROUP BY 1,2),
+  n AS (SELECT label, count(*) n FROM p GROUP BY 1) SELECT n.label topology_id, n.n n_values, round(sum(k), 4) total, round(sum(k*k+k), 4) squares, any_value(c.n) nullity FROM n JOIN g USING(label) JOIN c USING(label) GROUP BY 1,2""")
+def l0_spectrum(spark, sf_dir):
+    """Eigenvalues of L_0 by the kernel, held against trace identities and components."""
+    pts = clouds(spark, sf_dir)
+    s = analysis.laplacian_spectra(X.graph_complex(X.vertices_of(pts), P.pairs(pts, RADIUS)), [0], [(RADIUS, None)])
+    return s.select("topology_id", F.size("eigenvalues").cast("long").alias("n_values"), F.round(spectra.total(F.col("eigenvalues")), 4).alias("total"), F.round(spectra.total(F.col("eigenvalues"), lambda v: v * v), 4).alias("squares"), "nullity")
+
+
+@query(f"WITH {EDGES}, z AS (SELECT label, v, s.scale, count(*) k FROM (SELECT label, s v, d FROM e UNION ALL SELECT label, t, d FROM e) JOIN (VALUES " + ",".join(f"({s}::DOUBLE)" for s in SCALES) + ") s(scale) ON d<=s.scale GROUP BY 1,2,3) SELECT label topology_id, scale, round(sum(k), 4) total, round(sum(k*k+k), 4) squares FROM z GROUP BY 1,2")
+def l0_series(spark, sf_dir):
+    """L_0 spectra at rising scales, solved anew only where edges came in."""
+    pts = clouds(spark, sf_dir)
+    s = analysis.l0_sweep(pts.select("cloud_id", F.col("point_id").alias("v")), P.pairs(pts, RADIUS), SCALES)
+    x = F.col("eigenvalues")
+    return s.select("topology_id", "scale", F.round(spectra.total(x), 4).alias("total"), F.round(spectra.total(x, lambda v: v * v), 4).alias("squares")).where("total > 0")
+
+
+@query(f"WITH {EDGES}, z AS (SELECT label, s.scale, e.s, e.t FROM e JOIN (VALUES " + ",".join(f"({s}::DOUBLE)" for s in SCALES) + ") s(scale) ON d<=s.scale) SELECT label cloud_id, scale, i, j, sum(v)::BIGINT v FROM (SELECT label, scale, s i, s j, 1 v FROM z UNION ALL SELECT label, scale, t, t, 1 FROM z UNION ALL SELECT label, scale, s, t, -1 FROM z UNION ALL SELECT label, scale, t, s, -1 FROM z) GROUP BY 1,2,3,4")
+def l0_entries(spark, sf_dir):
+    """Entries of L_0 at each scale from one pass over the edges."""
+    return boundary.graph_laplacian(P.pairs(clouds(spark, sf_dir), RADIUS), _scales(spark))
+
+
+@query(f"WITH {EDGES}, m AS (SELECT label, min(vec_id) v FROM p GROUP BY 1) SELECT e.label cloud_id, 2*count(*) \"trace\" FROM e JOIN m ON e.label=m.label AND e.s<>m.v AND e.t<>m.v GROUP BY 1")
+def vertex_deleted_l0(spark, sf_dir):
+    """Trace of L_0 after the first vertex of each cloud is deleted."""
+    pts = clouds(spark, sf_dir)
+    gone = pts.where("row = 0").select("cloud_id", F.col("point_id").alias("v"))
+    left = boundary.without_vertex(P.pairs(pts, RADIUS), gone)
+    return left.groupBy("cloud_id").agg((2 * F.count("*")).alias("trace"))
+
+
+@query(f"WITH RECURSIVE {EDGES}{ROOTS} SELECT label cloud_id, v, root FROM roots")
+def connected_components(spark, sf_dir):
+    """Components of the radius graph, each named by its smallest vertex."""
+    pts = clouds(spark, sf_dir)
+    return components.components(pts.select("cloud_id", F.col("point_id").alias("v")), P.pairs(pts, RADIUS))
+
+
+@query(f"""WITH RECURSIVE {EDGES}{ROOTS}, n AS (SELECT label, count(*) v FROM p GROUP BY 1), m AS (SELECT label, count(*) e FROM e GROUP BY 1)
+  SELECT label topology_id, 0 dim, n.v n_bars, c.n n_essential FROM n JOIN c USING(label) UNION ALL SELECT label, 1, m.e-n.v+c.n, m.e-n.v+c.n FROM n JOIN m USING(label) JOIN c USING(label) WHERE m.e-n.v+c.n>0""")
+def graph_barcode(spark, sf_dir):
+    """Bars of the radius graph by the reduction kernel, held against V, E and components."""
+    pts = clouds(spark, sf_dir)
+    bars = analysis.persistence(X.graph_complex(X.vertices_of(pts), P.pairs(pts, RADIUS)), 1, include_zero=True)
+    return bars.groupBy("topology_id", "dim").agg(F.count("*").alias("n_bars"), F.count_if(F.col("death") == float("inf")).alias("n_essential"))
+
+
+@query()
+def rips_barcode(spark, sf_dir):
+    """Barcode of the Rips complex in degrees 0 and 1."""
+    return _bars(analysis.persistence(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS), 1))
+
+
+@query()
+def h0_merges(spark, sf_dir):
+    """Merge heights of components: lengths of the edges of minimum spanning forests."""
+    pts = clouds(spark, sf_dir)
+    return _bars(components.h0_barcode(X.graph_complex(X.vertices_of(pts), P.pairs(pts, RADIUS))))
+
+
+def _bars(bars: DataFrame) -> DataFrame:
+    infinite = F.col("death") == float("inf")
+    return bars.select("topology_id", "dim", F.round("birth", 6).alias("birth"), F.when(~infinite, F.round("death", 6)).alias("death"), infinite.alias("is_essential"))
+
+
+CIRCLES = POINTS + """, t AS (SELECT a.label, a.vec_id a, b.vec_id b, c.vec_id c, 2*(a.x*(b.y-c.y)+b.x*(c.y-a.y)+c.x*(a.y-b.y)) q,
+  a.x ax, a.y ay, (a.x*a.x+a.y*a.y) a2, (b.x*b.x+b.y*b.y) b2, (c.x*c.x+c.y*c.y) c2, b.x bx, b.y byy, c.x cx, c.y cy FROM p a JOIN p b ON a.label=b.label AND a.vec_id<b.vec_id JOIN p c ON b.label=c.label AND b.vec_id<c.vec_id),
+  o AS (SELECT label, a, b, c, ax, ay, (a2*(byy-cy)+b2*(cy-ay)+c2*(ay-byy))/q ox, (a2*(cx-bx)+b2*(ax-cx)+c2*(bx-ax))/q oy FROM t WHERE abs(q)>1e-14),
+  k AS (SELECT *, (ax-ox)*(ax-ox)+(ay-oy)*(ay-oy) r FROM o),
+  d AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.label=k.label AND p.vec_id NOT IN (k.a, k.b, k.c) AND (p.x-ox)*(p.x-ox)+(p.y-oy)*(p.y-oy)<r))"""
+
+
+@query(f"WITH {CIRCLES} SELECT label topology_id, a||'-'||b||'-'||c cell, round(r, 6) birth FROM d WHERE r<=1.0")
+def alpha_triangles(spark, sf_dir):
+    """Triangles of the alpha complex: those of the Delaunay triangulation, born with their circles."""
+    return analysis.alpha_complex(clouds(spark, sf_dir), 2, 1.0).where("dim = 2").select("topology_id", _text("cell").alias("cell"), F.round("birth", 6).alias("birth"))
+
+
+@query(f"""WITH {EDGES}, o AS (SELECT e.label, s, t, d FROM e JOIN p a ON a.label=e.label AND a.vec_id=s JOIN p b ON b.label=e.label AND b.vec_id=t WHERE a.vec_id%3<=b.vec_id%3
+  UNION ALL SELECT e.label, t, s, d FROM e JOIN p a ON a.label=e.label AND a.vec_id=s JOIN p b ON b.label=e.label AND b.vec_id=t WHERE a.vec_id%3>=b.vec_id%3)
+  SELECT label topology_id, s||'-'||t cell, round(d, 6) birth FROM o UNION ALL SELECT x.label, x.s||'-'||x.t||'-'||y.t, round(greatest(x.d, y.d), 6) FROM o x JOIN o y ON x.label=y.label AND x.t=y.s AND y.t<>x.s""")
+def hyperdigraph_paths(spark, sf_dir):
+    """Directed edges from lower to higher weight and the paths of two of them."""
+    pts = clouds(spark, sf_dir)
+    edges = hyperdigraph.orient(P.pairs(pts, RADIUS), pts)
+    cells = hyperdigraph.path_complex(pts.select("cloud_id", F.col("point_id").alias("v")), edges, 2, max_hyperedges=None)
+    return cells.where("dim > 0").select("topology_id", _text("cell").alias("cell"), F.round("birth", 6).alias("birth"))
+
+
+@query()
+def hyperdigraph_barcode(spark, sf_dir):
+    """Barcode of the path hyperdigraph of each cloud at a smaller radius, over GF(2)."""
+    pts = clouds(spark, sf_dir)
+    edges = hyperdigraph.orient(P.pairs(pts, RADIUS / 2), pts)
+    return _bars(analysis.persistence(hyperdigraph.path_complex(pts.select("cloud_id", F.col("point_id").alias("v")), edges, 2), 1, "hyperdigraph"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, event_type a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events)
+  SELECT user_id cloud_id, a src, b dst, min(n)::DOUBLE birth FROM s WHERE b IS NOT NULL AND a<>b GROUP BY 1,2,3""")
+def transition_digraph(spark, sf_dir):
+    """Digraph of each user's event types, an edge born at its first transition."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst"), F.row_number().over(w).cast("double").alias("birth"))
+    return e.where("dst is not null and src <> dst").groupBy(F.col("user_id").alias("cloud_id"), "src", "dst").agg(F.min("birth").alias("birth"))
+
+
+@query(f"""WITH {EDGES}{EDGES2}, a AS (SELECT label, vec_id v, vec_id::VARCHAR c, 0 k, 0.0::DOUBLE d FROM p UNION ALL SELECT label, s, s||'-'||t, 1, d FROM e UNION ALL SELECT label, t, s||'-'||t, 1, d FROM e),
+  b AS (SELECT label, vec_id v, vec_id::VARCHAR c, 0 k, 0.0::DOUBLE d FROM p UNION ALL SELECT label, s, s||'-'||t, 1, d FROM e2 UNION ALL SELECT label, t, s||'-'||t, 1, d FROM e2)
+  SELECT DISTINCT a.label topology_id, a.k+b.k \"degree\", a.c cell_a, b.c cell_b, round(greatest(a.d, b.d), 6) birth FROM a JOIN b ON a.label=b.label AND a.v=b.v WHERE a.k+b.k<=2""")
+def interaction_cells(spark, sf_dir):
+    """Pairs of cells with a common vertex, of two graphs on the same vertices."""
+    c = interaction.interaction_complex(*_factors(spark, sf_dir), 2)
+    return c.select("topology_id", "degree", _text("cell_a").alias("cell_a"), _text("cell_b").alias("cell_b"), F.round("birth", 6).alias("birth"))
+
+
+def _factors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    one, two = clouds(spark, sf_dir), clouds(spark, sf_dir, 3)
+    return tuple(X.graph_complex(X.vertices_of(p), P.pairs(p, RADIUS)) for p in (one, two))
+
+
+L0 = f"""WITH {EDGES}{EDGES2}, z AS (SELECT label, v, count(*) k FROM (SELECT label, s v FROM e UNION ALL SELECT label, t FROM e UNION ALL SELECT label, s FROM e2 UNION ALL SELECT label, t FROM e2) GROUP BY 1,2),
+  x AS (SELECT p.label, vec_id v, coalesce(k, 0)::DOUBLE l FROM p LEFT JOIN z ON z.label=p.label AND z.v=p.vec_id)"""
+
+
+@query(L0 + " SELECT label topology_id, v, l eigenvalue FROM x")
+def interaction_l0(spark, sf_dir):
+    """The diagonal operator of degree 0 of the interaction complex."""
+    return interaction.degree_zero_spectrum(interaction.interaction_complex(*_factors(spark, sf_dir), 1), RADIUS)
+
+
+@query("SELECT 0::BIGINT n_entries")
+def interaction_boundary_audit(spark, sf_dir):
+    """Entries of the squared signed boundary of the interaction complex that are not zero."""
+    b = interaction.boundary(interaction.interaction_complex(*_factors(spark, sf_dir), 2))
+    low = b.select("topology_id", F.col("row_a").alias("ra"), F.col("row_b").alias("rb"), F.col("col_a").alias("row_a"), F.col("col_b").alias("row_b"), F.col("sign").alias("s"))
+    return b.join(low, ["topology_id", "row_a", "row_b"]).groupBy("topology_id", "ra", "rb", "col_a", "col_b").agg(F.sum(F.col("sign") * F.col("s")).alias("v")).where("v <> 0").agg(F.count("*").alias("n_entries"))
+
+
+@query(f"WITH {EDGES} SELECT label topology_id, CASE WHEN d<=0.05 THEN 0.0 WHEN d<=0.1 THEN 1.0 ELSE 2.0 END::DOUBLE stage, count(*) n FROM e WHERE d<=0.14 GROUP BY 1,2")
+def regraded_edges(spark, sf_dir):
+    """Edges by the stage of a schedule at which they are first there."""
+    pts = clouds(spark, sf_dir)
+    g = interaction.regrade(X.graph_complex(X.vertices_of(pts), P.pairs(pts, RADIUS)).where("dim = 1"), [0.05, 0.1, 0.14])
+    return g.groupBy("topology_id", F.col("birth").alias("stage")).agg(F.count("*").alias("n"))
+
+
+STATS = ("min", "max", "mean", "sum", "std", "variance", "median", "energy", "entropy", "moment_3", "zero_count", "positive_count", "laplacian_energy")
+
+
+@query(L0 + """, m AS (SELECT label, avg(l) w FROM x GROUP BY 1), t AS (SELECT label, sum(l) s FROM x GROUP BY 1) SELECT x.label topology_id, round(min(l) FILTER (l>0), 6) "min", round(max(l) FILTER (l>0), 6) "max", round(avg(l) FILTER (l>0), 6) mean, round(coalesce(sum(l), 0), 6) "sum",
+  round(stddev_pop(l) FILTER (l>0), 6) std, round(var_pop(l) FILTER (l>0), 6) variance, round(quantile_cont(l, 0.5) FILTER (l>0), 6) median, round(sum(abs(l)), 6) energy, round(sum(CASE WHEN l>0 THEN -l/s*ln(l/s) ELSE 0 END), 6) entropy,
+  round(avg(l*l*l) FILTER (l>0), 4) moment_3, sum(CASE WHEN l=0 THEN 1 ELSE 0 END)::DOUBLE zero_count, sum(CASE WHEN l>0 THEN 1 ELSE 0 END)::DOUBLE positive_count, round(sum(abs(l-w)), 6) laplacian_energy FROM x JOIN m USING(label) JOIN t USING(label) GROUP BY 1""")
+def spectral_statistics(spark, sf_dir):
+    """Statistics of the spectra of interaction_l0, as expressions on arrays."""
+    s = interaction_l0(spark, sf_dir).groupBy("topology_id").agg(F.array_sort(F.collect_list("eigenvalue")).alias("eigenvalues"))
+    return spectra.summarize(s, STATS).select("topology_id", *[(F.round(c, 4 if c == "moment_3" else 6)).alias(c) for c in STATS])
+
+
+@query(L0 + """, q AS (SELECT label, count(*)::DOUBLE n, sum(CASE WHEN l=0 THEN 1 ELSE 0 END)::DOUBLE z, avg(l) FILTER (l>0) m, min(l) FILTER (l>0) lo, max(l) FILTER (l>0) hi, quantile_cont(l, 0.25) FILTER (l>0) q1, quantile_cont(l, 0.5) FILTER (l>0) q2, quantile_cont(l, 0.75) FILTER (l>0) q3, sum(l) s FROM x GROUP BY 1),
+  h AS (SELECT x.label, avg(abs(l-m)) FILTER (l>0) d, sum(CASE WHEN l>0 THEN -l/s*ln(l/s) ELSE 0 END) e FROM x JOIN q USING(label) GROUP BY 1) SELECT q.label topology_id, n s0, z s1, round(m,6) s2, round(lo/m,6) s3, round(d/m,6) s4, round(hi/m,6) s5, round(q1,6) s6, round(q2,6) s7, round(q3,6) s8, round(e,6) s9 FROM q JOIN h USING(label)""")
+def molecular_statistics(spark, sf_dir):
+    """The ten statistics of the molecular recipe."""
+    s = interaction_l0(spark, sf_dir).groupBy("topology_id").agg(F.collect_list("eigenvalue").alias("x"))
+    t = s.select("topology_id", spectra.ten_statistics(F.col("x")).alias("t"))
+    return t.select("topology_id", *[F.round(F.col("t")[k], 6).alias(f"s{k}") for k in range(10)])
+
+
+#: Bars from lineitem: many, with ties, lengths of zero and essential ones.
+BARS = "bars AS (SELECT l_linestatus topology_id, (l_linenumber%2)::INT dim, l_quantity::DOUBLE birth, CASE WHEN l_discount<0.01 THEN 'infinity'::DOUBLE ELSE l_quantity+round(l_tax*100) END::DOUBLE death FROM lineitem)"
+CUTS = [0.0, 10.0, 20.0, 35.0, 50.0]
+
+
+def _lineitem_bars(spark, sf_dir) -> DataFrame:
+    e = _table(spark, sf_dir, "lineitem")
+    death = F.when(F.col("l_discount") < 0.01, F.lit(float("inf"))).otherwise(F.col("l_quantity") + F.round(F.col("l_tax") * 100))
+    return e.select(F.col("l_linestatus").alias("topology_id"), (F.col("l_linenumber") % 2).cast("int").alias("dim"), F.col("l_quantity").cast("double").alias("birth"), death.cast("double").alias("death"))
+
+
+_BIN = lambda x: "CASE " + " ".join(f"WHEN {x}>={a} AND ({x}<{b}{f' OR {x}={b}' if k == len(CUTS) - 2 else ''}) THEN {k}" for k, (a, b) in enumerate(zip(CUTS, CUTS[1:]))) + " END"
+_NB = len(CUTS) - 1
+_SIZE = _NB * _NB + _NB + 2
+
+
+@query(f"""WITH {BARS}, k AS (SELECT topology_id, dim, {_BIN('birth')} b, {_BIN('death')} d, death='infinity'::DOUBLE inf FROM bars WHERE death-birth>=1.0),
+  o AS (SELECT topology_id, dim*{_SIZE} + CASE WHEN inf THEN CASE WHEN b IS NULL THEN {_NB * _NB + _NB + 1} ELSE {_NB * _NB}+b END WHEN b IS NULL OR d IS NULL THEN {_NB * _NB + _NB} ELSE b*{_NB}+d END ordinal, count(*) n FROM k GROUP BY 1,2)
+  SELECT t.topology_id, g.i::INT ordinal, coalesce(n, 0)::DOUBLE "value" FROM (SELECT DISTINCT topology_id FROM bars) t CROSS JOIN range(0, {2 * _SIZE}) g(i) LEFT JOIN o ON o.topology_id=t.topology_id AND o.ordinal=g.i""")
+def barcode_histogram(spark, sf_dir):
+    """Dense birth and death histogram with essential bars and overflow."""
+    return barcodes.histogram(_lineitem_bars(spark, sf_dir), CUTS, CUTS, [0, 1], 1.0)
+
+
+def _bins_sql(on: str) -> str:
+    values = ",".join(f"({k},{a}::DOUBLE,{b}::DOUBLE)" for k, (a, b) in enumerate(zip(CUTS, CUTS[1:])))
+    return f"WITH {BARS}, g(bin, l, r) AS (VALUES {values}), t AS (SELECT DISTINCT topology_id FROM bars) SELECT t.topology_id, d.dim::INT dim, g.bin, count(b.birth) n FROM t CROSS JOIN (VALUES (0),(1)) d(dim) CROSS JOIN g LEFT JOIN bars b ON b.topology_id=t.topology_id AND b.dim=d.dim AND b.death>b.birth AND {on} GROUP BY 1,2,3"
+
+
+@query(_bins_sql("b.birth<g.r AND b.death>g.l"))
+def bars_overlap(spark, sf_dir):
+    """Bars that overlap each bin."""
+    return barcodes.bin_counts(_lineitem_bars(spark, sf_dir), CUTS, [0, 1], "overlap")
+
+
+@query(_bins_sql("b.birth<=g.l AND b.death>=g.r"))
+def bars_cover(spark, sf_dir):
+    """Bars that cover each bin."""
+    return barcodes.bin_counts(_lineitem_bars(spark, sf_dir), CUTS, [0, 1], "cover")
+
+
+@query(_bins_sql(f"b.death<'infinity'::DOUBLE AND b.death>=g.l AND (b.death<g.r OR (g.bin={_NB - 1} AND b.death=g.r))"))
+def bars_death(spark, sf_dir):
+    """Finite deaths in each bin."""
+    return barcodes.bin_counts(_lineitem_bars(spark, sf_dir), CUTS, [0, 1], "death")
+
+
+@query(f"WITH {BARS}, s(scale) AS (VALUES (5.0::DOUBLE),(20.0::DOUBLE),(49.0::DOUBLE)) SELECT t.topology_id, t.dim, s.scale, count(b.birth) betti FROM (SELECT DISTINCT topology_id, dim FROM bars) t CROSS JOIN s LEFT JOIN bars b ON b.topology_id=t.topology_id AND b.dim=t.dim AND b.birth<=s.scale AND s.scale<b.death GROUP BY 1,2,3")
+def betti_curve(spark, sf_dir):
+    """Bars alive at each scale."""
+    return barcodes.betti_at(_lineitem_bars(spark, sf_dir), spark.createDataFrame([(5.0,), (20.0,), (49.0,)], "scale double"))
+
+
+@query(f"WITH {BARS} SELECT topology_id, dim, count(*) FILTER (birth<=20 AND death>25) betti FROM bars GROUP BY 1,2")
+def persistent_betti(spark, sf_dir):
+    """Bars alive from one scale to another."""
+    return barcodes.persistent_betti(_lineitem_bars(spark, sf_dir), 20.0, 25.0)
+
+
+@query("WITH p AS (SELECT label, vec_id, round(embedding[1]::DOUBLE, 1) x, round(embedding[2]::DOUBLE, 1) y FROM embeddings) SELECT label cloud_id, vec_id point_id, min(vec_id) OVER (PARTITION BY label, x+0.0, y+0.0) kept_id FROM p")
+def unique_points(spark, sf_dir):
+    """Points at the same rounded place, and the first of them."""
+    pts = clouds(spark, sf_dir).withColumn("coords", F.transform("coords", lambda c: F.round(c, 1)))
+    return P.unique_coordinates(pts).select("cloud_id", "point_id", "kept_id")
+
+
+@query(f"WITH {POINTS} SELECT a.label cloud_id, a.vec_id point_id, round(min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))), 6) nearest FROM p a JOIN p b ON a.label=b.label AND b.vec_id%3=0 WHERE a.vec_id%3<>0 GROUP BY 1,2")
+def nearest_distance(spark, sf_dir):
+    """Distance of the points of positive weight to the nearest of weight zero."""
+    pts = clouds(spark, sf_dir)
+    return P.nearest(pts.where("weight > 0"), pts.where("weight = 0")).select("cloud_id", "point_id", F.round("nearest", 6).alias("nearest"))
+
+
+@query("SELECT n_regionkey::BIGINT cloud_id, n_nationkey::BIGINT point_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC)-1 \"row\" FROM nation WHERE n_nationkey%2=0")
+def ordered_subset(spark, sf_dir):
+    """A subset of the points of each cloud in a given order."""
+    from pyspark.sql import Window as W
+
+    n = _table(spark, sf_dir, "nation")
+    pts = P.points(n, F.col("n_regionkey").cast("long"), F.col("n_nationkey").cast("long"), F.array(F.col("n_nationkey").cast("double")))
+    ids = n.where("n_nationkey % 2 = 0").select(F.col("n_regionkey").cast("long").alias("cloud_id"), F.col("n_nationkey").cast("long").alias("point_id"), F.row_number().over(W.partitionBy("n_regionkey").orderBy(F.desc("n_name"))).alias("ordinal"))
+    return P.subset(pts, ids).select("cloud_id", "point_id", F.col("row").cast("long").alias("row"))
+
+
+@query(f"WITH {TRIANGLES}, h AS (SELECT * FROM e WHERE (s+t)%7<>0) SELECT label topology_id, count(*) n FROM (SELECT t.label FROM t LEFT JOIN h ON h.label=t.label AND h.s=t.b AND h.t=t.c WHERE h.s IS NULL UNION ALL SELECT t.label FROM t LEFT JOIN h ON h.label=t.label AND h.s=t.a AND h.t=t.c WHERE h.s IS NULL UNION ALL SELECT t.label FROM t LEFT JOIN h ON h.label=t.label AND h.s=t.a AND h.t=t.b WHERE h.s IS NULL) GROUP BY 1")
+def missing_facets(spark, sf_dir):
+    """Facets that are missing after some edges were taken out of a complex."""
+    cells = X.rips_complex(clouds(spark, sf_dir), 2, RADIUS)
+    holed = cells.where((F.col("dim") != 1) | ((F.element_at("cell", 1) + F.element_at("cell", 2)) % 7 != 0))
+    return X.violations(holed).groupBy("topology_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TRIANGLES} SELECT label topology_id, s||'-'||t face, count(*) n FROM (SELECT label, a s, b t FROM t UNION ALL SELECT label, b, c FROM t UNION ALL SELECT label, a, c FROM t) GROUP BY 1,2")
+def edge_cofaces(spark, sf_dir):
+    """Triangles on each edge."""
+    cells = X.rips_complex(clouds(spark, sf_dir), 2, RADIUS).where("dim > 0")
+    return X.cofaces(cells).where(F.size("face") == 2).groupBy("topology_id", _text("face").alias("face")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_suppkey::BIGINT cloud_id, 0 dim, l_partkey::VARCHAR cell, round(min(l_extendedprice), 2) birth FROM lineitem GROUP BY 1,3")
+def supplier_vertices(spark, sf_dir):
+    """Face closure of each supplier's parts: a vertex is born with its cheapest line."""
+    e = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("topology_id"), F.array(F.col("l_partkey").cast("long")).alias("cell"), F.col("l_extendedprice").cast("double").alias("birth"))
+    return X.insert(e, 0).select(F.col("topology_id").alias("cloud_id"), "dim", _text("cell").alias("cell"), F.round("birth", 2).alias("birth"))
+
+
+@query(f"WITH {EDGES}, b AS (SELECT label, v, count(*) k FROM (SELECT label, s v FROM e UNION ALL SELECT label, t FROM e) GROUP BY 1,2), g AS (SELECT label, v, count(*) k FROM (SELECT label, s v FROM e2 UNION ALL SELECT label, t FROM e2) GROUP BY 1,2) SELECT p.label topology_id, sum((1+coalesce(b.k,0))*(1+coalesce(g.k,0)))::BIGINT bound FROM p LEFT JOIN b ON b.label=p.label AND b.v=p.vec_id LEFT JOIN g ON g.label=p.label AND g.v=p.vec_id GROUP BY 1".replace(EDGES, EDGES + EDGES2))
+def interaction_bound(spark, sf_dir):
+    """An upper bound of the interaction cells, from counts."""
+    return interaction.witness_bound(*_factors(spark, sf_dir), 1)
