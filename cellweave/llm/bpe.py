@@ -1,10 +1,11 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are dealt to blocks of bounded size by doc_id. Each block lists its distinct pre-tokens
-(rows of block and word instead of a row for every occurrence: positions stay in the block,
-where the text is); every distinct word of all blocks is encoded once; the ids are joined back
-to the blocks, and each block reassembles its texts by position. Decoding joins the
-token-byte table to the ids.
+Texts are dealt to blocks of bounded size by doc_id. Each block lists its distinct pre-tokens,
+dealt to buckets by the word (positions stay in the block, where the text is, so that a word
+costs one entry for each block and not one for each occurrence); a bucket meets each of its
+words from all blocks, encodes every distinct one once and sends the ids back; each block
+joins them to its pre-tokens by word and puts its texts together by position. Decoding joins
+the token-byte table to the ids. Blocks and lists travel packed and compressed.
 
 Cases: a null text counts as empty, an empty text has no ids and the hashes of the empty
 string; repeated rows give a row each; an empty table gives an empty result; other columns of
@@ -15,15 +16,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes
+from .common import packed, slices, text_bytes, unpacked
 
-#: UTF-8 bytes in a block, about.
-BLOCK_BYTES = 12 << 20
+#: UTF-8 bytes of text for each block, and for each bucket of words, about.
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,73 +38,94 @@ def _texts(column) -> list[str]:
     return [b.decode("utf-8", "replace") if b else "" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    n = max(1, -(-text_bytes(docs) // block_bytes))
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"))
+def blocks(docs: DataFrame, n: int) -> DataFrame:
+    """(block, docs): rows of packed (doc_id, text)."""
 
+    def dealt(batches):
+        for batch in batches:
+            for part in slices(batch):
+                home = np.array(part.column(2))
+                order = np.argsort(home, kind="stable")
+                names, cut = np.unique(home[order], return_index=True)
+                pieces = np.split(order, cut[1:])
+                yield pa.record_batch([pa.array(names, pa.int32()), pa.array([packed(part.take(pa.array(i)).select(["doc_id", "text"])) for i in pieces], pa.binary())], ["block", "docs"])
 
-def word_table(dealt: DataFrame, pattern: str) -> DataFrame:
-    """(block, word): the distinct pre-tokens of each block."""
+    home = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
+    return docs.select("doc_id", "text", home).mapInArrow(dealt, "block int, docs binary")
 
-    def listed(group: pa.Table) -> pa.Table:
-        import regex
 
-        find, seen = regex.compile(pattern).findall, set()
-        for text in (t for b in group.to_batches() for t in _texts(b.column("text"))):
-            seen.update(find(text))
-        found = sorted(seen)
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()] * len(found), pa.int32()), "word": pa.array(found, pa.string())})
+def _each(group: pa.Table):
+    """(doc_ids, texts) of the packed rows of a block, one after the other."""
+    for blob in group.column("docs"):
+        for batch in unpacked(blob.as_buffer()):
+            yield batch.column("doc_id").to_pylist(), _texts(batch.column("text"))
 
-    return dealt.groupBy("block").applyInArrow(listed, "block int, word string")
 
+def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Encode and decode every text: doc_id, ids array<int>, decoded binary, or, with digests, doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    total = text_bytes(docs)
+    n_blocks, n_buckets = max(1, -(-total // block_bytes)), max(1, -(-total // bucket_bytes))
+    dealt = blocks(docs, n_blocks)
 
-def encode_words(distinct: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(word, ids): each word once, by byte-pair merges in order of rank."""
+    def listed(group: pa.Table) -> pa.Table:
+        import regex
 
-    def encoded(batches):
+        find, seen = regex.compile(pattern).findall, set()
+        for _, texts in _each(group):
+            for text in texts:
+                seen.update(find(text))
+        by = defaultdict(list)
+        for w in sorted(seen):
+            by[zlib.crc32(w.encode()) % n_buckets].append(w)
+        home = group.column("block")[0].as_py()
+        lists = [packed(pa.record_batch([pa.array(ws, pa.string())], ["word"])) for ws in by.values()]
+        return pa.table({"bucket": pa.array(list(by), pa.int32()), "block": pa.array([home] * len(by), pa.int32()), "words": pa.array(lists, pa.binary())})
+
+    def answered(group: pa.Table) -> pa.Table:
         import tiktoken
 
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(vocabulary), special_tokens={})
-        for batch in batches:
-            ids = [encoding._encode_single_piece(w) for w in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([np.array(i, np.int32).tobytes() for i in ids], pa.binary())], ["word", "ids"])
-
-    return distinct.mapInArrow(encoded, "word string, ids binary")
-
-
-def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = BLOCK_BYTES, digests: bool = False) -> DataFrame:
-    """Encode and decode every text: doc_id, ids array<int>, decoded binary, or, with digests, doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    dealt = blocks(docs, block_bytes)
-    listed = word_table(dealt, pattern)
-    known = encode_words(listed.select("word").distinct(), vocabulary, pattern)
-    back = listed.join(known, "word").select("block", "word", "ids")
+        known: dict[str, list[int]] = {}
+        replies = []
+        for blob in group.column("words"):
+            for batch in unpacked(blob.as_buffer()):
+                ids = []
+                for w in batch.column(0).to_pylist():
+                    if w not in known:
+                        known[w] = encoding._encode_single_piece(w)
+                    ids.append(known[w])
+                replies.append(packed(pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])))
+        return pa.table({"block": group.column("block"), "known": pa.array(replies, pa.binary())})
+
+    words = dealt.groupBy("block").applyInArrow(listed, "bucket int, block int, words binary")
+    replies = words.groupBy("bucket").applyInArrow(answered, "block int, known binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
 
-    def reassemble(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def reassembled(group: pa.Table, replies: pa.Table) -> pa.Table:
         import regex
 
         find = regex.compile(pattern).findall
         token = {rank: raw for raw, rank in load_ranks(vocabulary).items()}
-        names = known.column("word").to_pylist()
-        ids = [np.frombuffer(b, np.int32) for b in known.column("ids").to_pylist()]
-        raw = {w: b"".join([token[i] for i in x.tolist()]) for w, x in zip(names, ids)}
-        plain = {w: ",".join(map(str, x.tolist())) for w, x in zip(names, ids)} if digests else dict(zip(names, ids))
-        count = dict(zip(names, map(len, ids)))
-        out = ([], [], [], [])
-        for batch in texts.to_batches():
-            out[0].extend(batch.column("doc_id").to_pylist())
-            for text in _texts(batch.column("text")):
-                found = find(text)
-                decoded = b"".join([raw[w] for w in found])
+        known = {}  # word: (count, ids, bytes)
+        for blob in replies.column("known"):
+            for batch in unpacked(blob.as_buffer()):
+                for w, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    known[w] = (len(ids), ",".join(map(str, ids)) if digests else ids, b"".join([token[i] for i in ids]))
+        names, first, second, third = [], [], [], []
+        for doc_ids, texts in _each(group):
+            names += doc_ids
+            for text in texts:
+                found = [known[w] for w in find(text)]
+                decoded = b"".join([x[2] for x in found])
                 if digests:
-                    out[1].append(sum([count[w] for w in found]))
-                    out[2].append(hashlib.sha256(",".join([plain[w] for w in found]).encode()).hexdigest())
-                    out[3].append(hashlib.sha256(decoded).hexdigest())
+                    first.append(sum([x[0] for x in found]))
+                    second.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
+                    third.append(hashlib.sha256(decoded).hexdigest())
                 else:
-                    out[1].append(np.concatenate([plain[w] for w in found]) if found else np.zeros(0, np.int32))
-                    out[2].append(decoded)
+                    first.append([i for x in found for i in x[1]])
+                    second.append(decoded)
         if digests:
-            return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_tokens": pa.array(out[1], pa.int64()), "ids_sha256": pa.array(out[2], pa.string()), "decoded_sha256": pa.array(out[3], pa.string())})
-        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int32())), "decoded": pa.array(out[2], pa.binary())})
+            return pa.table({"doc_id": pa.array(names, pa.int64()), "n_tokens": pa.array(first, pa.int64()), "ids_sha256": pa.array(second, pa.string()), "decoded_sha256": pa.array(third, pa.string())})
+        return pa.table({"doc_id": pa.array(names, pa.int64()), "ids": pa.array(first, pa.list_(pa.int32())), "decoded": pa.array(second, pa.binary())})
 
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(reassemble, schema)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(reassembled, schema)
