@@ -73,6 +73,16 @@ STATISTICS: dict[str, Callable[[Column], Column]] = {
 WHOLE = {"zero_count", "positive_count", "laplacian_energy"}
 
 
+def _own(f: Callable):
+    """A user's statistic of one list of values as a vectorised function."""
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f).astype(float)
+
+    return run
+
+
 def summarize(spectra: DataFrame, statistics=DEFAULT, positive_only: bool = True, atol: float = 1e-8, rtol: float = 1e-10, empty: str = "nan", partial: bool = False, custom: dict[str, Callable] | None = None) -> DataFrame:
     """spectra with a column for each statistic.
 
@@ -107,12 +117,7 @@ def summarize(spectra: DataFrame, statistics=DEFAULT, positive_only: bool = True
             columns[s] = F.when((F.size("_x") == 0) & whole, F.lit(0.0)).otherwise(columns[s])
     out = out.withColumns(columns)
     for name, f in (custom or {}).items():
-
-        @F.pandas_udf("double")
-        def run(s: pd.Series, f=f) -> pd.Series:
-            return s.map(f).astype(float)
-
-        out = out.withColumn(name, run("_s"))
+        out = out.withColumn(name, _own(f)("_s"))
     return out.drop("_tol", "_x", "_s")
 
 
