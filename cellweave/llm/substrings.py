@@ -13,7 +13,8 @@ of ranks exchange packed, sorted lists in three rounds:
 2. Rank of an anchor's whole run of windows (joined from ranks at 50) and its smallest
    doc_id. A bucket answers the smallest doc_id of equal runs, and which runs share their
    anchor's rank with different ones.
-3. Only of those: ranks at 50 of every window. A bucket answers which occur in a smaller doc_id.
+3. Only of those: the bytes of the run, from which the bucket joins the ranks at 50 of every
+   window. It answers which windows occur in a smaller doc_id.
 
 A list holds a rank once for each block, so a passage that a third of all documents share
 costs an entry a block, and no group of copies is gathered anywhere.
@@ -40,7 +41,7 @@ from .common import _BYTE, buffers, text_bytes, unpacked
 LENGTH = 50
 HALF = LENGTH // 2
 #: UTF-8 bytes of text for each block and for each bucket, about, and window starts that are worked on at a time.
-BLOCK_BYTES, PIECE = 16 << 20, 2 << 20
+BLOCK_BYTES, PIECE = 8 << 20, 1 << 19
 
 _A, _M, _S = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB), np.uint64(29)
 
@@ -79,7 +80,7 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray):
-    """Yield (rank at the anchor, text, first window, last window, rank of the run, ranks at 50 from `base` on, base) by pieces of data."""
+    """Yield (rank at the anchor, text, first window, last window, rank of the run) by pieces of data."""
     for base in range(0, max(0, len(data) - LENGTH + 1), PIECE):
         piece = data[base : base + PIECE + LENGTH - 1]
         half = ranks(piece)
@@ -102,7 +103,7 @@ def anchors(data: np.ndarray, at: np.ndarray):
         run = whole[first] * _A
         run += whole[last] ^ (last - first).astype(np.uint64) * _M
         run ^= run >> _S
-        yield half[low[begin]], text[begin], first + base, last + base, run * _M, whole, base
+        yield half[low[begin]], text[begin], first + base, last + base, run * _M
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -136,7 +137,7 @@ def _texts(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def _all(group: pa.Table):
     """All anchors of a block: (rank, doc_id, rank of the run)."""
     ids, known, data, at = _texts(group)
-    found = [(g[known[t]], ids[t[known[t]]], r[known[t]]) for g, t, _, _, r, _, _ in anchors(data, at)]
+    found = [(g[known[t]], ids[t[known[t]]], r[known[t]]) for g, t, _, _, r in anchors(data, at)]
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -229,53 +230,71 @@ class _Rounds:
         order = np.argsort(name, kind="stable")
         name, least, ask = name[order], least[order].view(np.int64), ask[order].astype(bool)
         ids, known, data, at = _texts(group)
-        runs, docs = [], []
-        for _, t, _, _, r, _, _ in anchors(data, at):
-            runs.append(r[known[t]])
-            docs.append(ids[t[known[t]]])
-        own, inverse = np.unique(np.concatenate(runs) if runs else np.zeros(0, np.uint64), return_inverse=True)
+        found = [[x[known[t]] for x in (g, t, first, last, r)] for g, t, first, last, r in anchors(data, at)]
+        g, t, first, last, r = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
+        doc = ids[t]
+        own, inverse = np.unique(r, return_inverse=True)
         low = np.full(len(own), 2**63 - 1)
-        np.minimum.at(low, inverse, np.concatenate(docs) if docs else np.zeros(0, np.int64))
+        np.minimum.at(low, inverse, doc)
         asked = np.zeros(len(own), bool)
-        if len(name):
-            k = np.minimum(np.searchsorted(own, name), max(0, len(own) - 1))
+        if len(name) and len(own):
+            k = np.minimum(np.searchsorted(own, name), len(own) - 1)
             ok = own[k] == name
             np.minimum.at(low, k[ok], least[ok])
             np.logical_or.at(asked, k[ok], ask[ok])
-        covered, windows = [], []
-        for g, t, first, last, r, whole, base in anchors(data, at):
-            usable = known[t]
-            k = np.searchsorted(own, r[usable])
-            doc = ids[t[usable]]
-            gone = np.flatnonzero(usable)[doc > low[k]]
-            covered.append(np.stack([t[gone], first[gone] - at[t[gone]], last[gone] + LENGTH - at[t[gone]]]))
-            some = np.flatnonzero(usable)[(doc == low[k]) & asked[k]]
-            n = last[some] - first[some] + 1
-            p = np.repeat(first[some] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else first[some], n) + np.arange(n.sum())
-            windows.append((np.repeat(g[some], n), whole[p - base], np.repeat(t[some], n), p))
-        covered = np.concatenate(covered, 1) if covered else np.zeros((3, 0), np.int64)
-        g, h, t, p = (np.concatenate(x) for x in zip(*windows)) if windows else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        home = self.bucket(g)
-        order = np.lexsort((h, home))
-        home, h, t, p = home[order], h[order], t[order], p[order]
-        cut = np.searchsorted(home, np.arange(self.n + 1))
-        parts = [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
-        waiting = {k: (t[a:b].astype(np.int32), p[a:b].astype(np.int64) - at[t[a:b]]) for k, a, b in parts}
-        own_row = zstandard.ZstdCompressor(level=1).compress(pickle.dumps((_merged(covered), waiting)))
-        return _rows([*[k for k, _, _ in parts], -1 - block], [block] * (len(parts) + 1), [*[_pack(h[a:b], ids[t[a:b]].view(np.uint64)) for _, a, b in parts], own_row])
+        gone = doc > low[inverse]
+        covered = np.stack([t[gone], first[gone] - at[t[gone]], last[gone] + LENGTH - at[t[gone]]])
+        some = np.flatnonzero((doc == low[inverse]) & asked[inverse])
+        some = some[np.argsort(g[some], kind="stable")]
+        n = last[some] - first[some] + 1
+        out, waiting = [], {}
+        for k, a, b in self.split(g[some]):
+            x = some[a:b]
+            region = data[_ranges(first[x], n[a:b] + LENGTH - 1)].tobytes()
+            out.append((k, _squeeze((n[a:b].astype(np.uint8), doc[x], region))))
+            waiting[k] = (t[x].astype(np.int32), first[x] - at[t[x]], n[a:b].astype(np.uint8))
+        out.append((-1 - block, _squeeze((_merged(covered), waiting))))
+        return _rows([k for k, _ in out], [block] * len(out), [x for _, x in out])
 
     def answer_windows(self, group: pa.Table) -> pa.Table:
         if group.column("bucket")[0].as_py() < 0:
             return group.select(["bucket", "block", "list"])
-        lists = [_unpack(x) for x in group.column("list").to_pylist()]
-        h, doc = (np.concatenate(x) for x in zip(*lists))
-        names, inverse = np.unique(h, return_inverse=True)
+        lists = [_unsqueeze(x) for x in group.column("list").to_pylist()]
+        doc = np.concatenate([np.repeat(x[1], x[0]) for x in lists])
+        names, inverse = np.unique(np.concatenate([h for n, _, raw in lists for h in _window_ranks(n.astype(np.int64), raw)]), return_inverse=True)
         least = np.full(len(names), 2**63 - 1)
-        np.minimum.at(least, inverse, doc.view(np.int64))
-        bits = np.split(least[inverse] < doc.view(np.int64), np.cumsum([len(x[0]) for x in lists])[:-1])
+        np.minimum.at(least, inverse, doc)
+        bits = np.split(least[inverse] < doc, np.cumsum([x[0].sum(dtype=np.int64) for x in lists])[:-1])
         return _rows(group.column("bucket"), group.column("block"), [np.packbits(x).tobytes() for x in bits])
 
 
+def _window_ranks(n: np.ndarray, raw: bytes):
+    """Yield the ranks at 50 of the n windows of each of the regions that lie end to end in raw, by pieces."""
+    ends = np.cumsum(n + LENGTH - 1)
+    data, done = np.frombuffer(raw, np.uint8), 0
+    while done < len(n):
+        begin = ends[done - 1] if done else 0
+        stop = max(done + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
+        half = ranks(data[begin : ends[stop - 1]])
+        starts = np.concatenate([[0], ends[done : stop - 1] - begin]) if stop - done > 1 else np.zeros(1, np.int64)
+        yield _join(half, HALF, half)[_ranges(starts, n[done:stop])]
+        done = stop
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its length."""
+    total = int(lengths.sum())
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total) if total else np.zeros(0, np.int64)
+
+
+def _squeeze(x) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x))
+
+
+def _unsqueeze(x: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+
+
 def _merged(spans: np.ndarray) -> np.ndarray:
     """(text, start, end) columns as maximal runs, ascending."""
     if not spans.shape[1]:
@@ -331,11 +350,16 @@ def _spans(docs: DataFrame, block_bytes: int, schema: str, told) -> DataFrame:
         covered, waiting, bits = np.zeros((3, 0), np.int64), {}, {}
         for k, blob in zip(answers.column("bucket").to_pylist(), answers.column("list").to_pylist()):
             if k < 0:
-                covered, waiting = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+                covered, waiting = _unsqueeze(blob)
             else:
                 bits[k] = np.unpackbits(np.frombuffer(blob, np.uint8)).astype(bool)
-        more = [(t[bits[k][: len(t)]].astype(np.int64), p[bits[k][: len(t)]]) for k, (t, p) in waiting.items()]
-        spans = _merged(np.concatenate([covered, *[np.stack([t, p, p + LENGTH]) for t, p in more]], 1))
+        more = []
+        for k, (t, p, n) in waiting.items():
+            n = n.astype(np.int64)
+            hit = bits[k][: n.sum()]
+            t, p = np.repeat(t.astype(np.int64), n)[hit], _ranges(p, n)[hit]
+            more.append(np.stack([t, p, p + LENGTH]))
+        spans = _merged(np.concatenate([covered, *more], 1))
         cut = np.searchsorted(spans[0], np.arange(len(ids) + 1))
         raw = data.tobytes()
         rows = [told(raw[at[i] : at[i + 1]], list(zip(spans[1, a:b].tolist(), spans[2, a:b].tolist()))) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
