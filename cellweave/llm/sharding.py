@@ -16,8 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import settle
+
 #: Boundaries of the first round and samples for each; splits of an overfull range.
-RANGES, OVERSAMPLE, ROUNDS = 64, 16, 2
+RANGES, OVERSAMPLE = 64, 16
 #: A range is overfull if it holds more than this many times its fair share of rows or bytes.
 OVERFULL = 3
 
@@ -46,22 +48,22 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES) -> DataFrame:
     are laid end to end in key order, so that shards differ by the size of one record at most.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.select(
+    keys = settle(docs.select(
         "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("k")
-    )
+    ))  # the texts are read once; what follows reads keys and sizes
     n, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     draws = ranges * OVERSAMPLE
     # Half of the draws by size and half by count, so that neither rows nor bytes pile up.
     share = F.col("size") * (draws / 2 / max(total, 1)) + draws / 2 / max(n, 1)
     splits = _splitters(keys, share, ranges)
-    dealt = keys.withColumn("r", _position(splits)).withColumn("s", F.lit(0))
+    dealt = settle(keys.withColumn("r", _position(splits))).withColumn("s", F.lit(0))
     counted = dealt.groupBy("r").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
     fair_n, fair_b = max(1, n / (len(splits) + 1)), max(1, total / (len(splits) + 1))
     for row in sorted(counted, key=lambda x: x.r):
         times = max(row.n / fair_n, row.b / fair_b)
         if times > OVERFULL:
             parts = min(256, int(2 * times))
-            inner = _splitters(keys.where(_position(splits) == row.r), F.col("size") * (parts * OVERSAMPLE / 2 / row.b) + parts * OVERSAMPLE / 2 / row.n, parts)
+            inner = _splitters(dealt.where(F.col("r") == row.r), F.col("size") * (parts * OVERSAMPLE / 2 / row.b) + parts * OVERSAMPLE / 2 / row.n, parts)
             dealt = dealt.withColumn("s", F.when(F.col("r") == row.r, _position(inner)).otherwise(F.col("s")))
     sums = dealt.groupBy("r", "s").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
     upto = W.orderBy("r", "s").rowsBetween(W.unboundedPreceding, -1)  # a row for each range: few
