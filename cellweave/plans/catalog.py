@@ -183,7 +183,9 @@ def rips_barcode(spark, sf_dir):
     return _bars(analysis.persistence(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS), 1))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}{ROOTS}, h AS (SELECT label, s, t, d, s u FROM e UNION SELECT h.label, h.s, h.t, h.d, CASE WHEN x.s=h.u THEN x.t ELSE x.s END FROM h JOIN e x ON x.label=h.label AND x.d<h.d AND (x.s=h.u OR x.t=h.u)),
+  m AS (SELECT label, s, t, d FROM e WHERE d>0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.label=e.label AND h.s=e.s AND h.t=e.t AND h.u=e.t))
+  SELECT label topology_id, 0 dim, 0.0::DOUBLE birth, round(d, 6) death, false is_essential FROM m UNION ALL SELECT DISTINCT ON (label, root) label, 0, 0.0::DOUBLE, NULL, true FROM roots""")
 def h0_merges(spark, sf_dir):
     """Merge heights of components: lengths of the edges of minimum spanning forests."""
     pts = clouds(spark, sf_dir)
@@ -409,3 +411,74 @@ def supplier_vertices(spark, sf_dir):
 def interaction_bound(spark, sf_dir):
     """An upper bound of the interaction cells, from counts."""
     return interaction.witness_bound(*_factors(spark, sf_dir), 1)
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_type a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) b FROM events),
+  g AS (SELECT DISTINCT user_id, a, b FROM s WHERE b IS NOT NULL AND a<>b), v AS (SELECT user_id, a v FROM g UNION SELECT user_id, b FROM g),
+  r AS (SELECT user_id, v, v u FROM v UNION SELECT r.user_id, r.v, CASE WHEN g.a=r.u THEN g.b ELSE g.a END FROM r JOIN g ON g.user_id=r.user_id AND (g.a=r.u OR g.b=r.u)),
+  c AS (SELECT user_id, count(DISTINCT m) n FROM (SELECT user_id, v, min(u) m FROM r GROUP BY 1,2) GROUP BY 1), n AS (SELECT user_id, count(*) n FROM v GROUP BY 1), e AS (SELECT user_id, count(*) n FROM g GROUP BY 1)
+  SELECT user_id topology_id, 0 dim, c.n betti FROM c UNION ALL SELECT user_id, 1, e.n-n.n+c.n FROM c JOIN n USING(user_id) JOIN e USING(user_id)""")
+def transition_homology(spark, sf_dir):
+    """Betti numbers of each user's transition digraph, vertices and edges alone."""
+    e = transition_digraph(spark, sf_dir)
+    vertices = e.select("cloud_id", F.col("src").alias("v")).union(e.select("cloud_id", "dst")).distinct()
+    return analysis.homology(hyperdigraph.path_complex(vertices, e, 1), 1, "hyperdigraph")
+
+
+@query(f"WITH {EDGES} SELECT label cloud_id, s src, t dst FROM e")
+def adjacency_bonds(spark, sf_dir):
+    """Pairs of a symmetric 0/1 matrix given by its entries."""
+    e = P.pairs(clouds(spark, sf_dir), RADIUS)
+    entry = lambda i, j, v: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(v).alias("v"))
+    return P.bonds_from_adjacency(e.select("cloud_id", F.explode(F.array(entry("src", "dst", 1), entry("dst", "src", 1), entry("src", "src", 0))).alias("x")).select("cloud_id", "x.i", "x.j", "x.v"))
+
+
+@query(f"WITH {EDGES}, m AS (SELECT label, min(vec_id) a, max(vec_id) b FROM p GROUP BY 1) SELECT label cloud_id, s src, t dst, round(d, 6) birth FROM e WHERE (s+t)%2=0 UNION ALL SELECT m.label, m.a, m.b, 0.0 FROM m WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.label=m.label AND e.s=m.a AND e.t=m.b AND (e.s+e.t)%2=0)")
+def masked_edges(spark, sf_dir):
+    """Edges inside an allowed set, and a forced edge for each cloud."""
+    pts = clouds(spark, sf_dir)
+    forced = pts.groupBy("cloud_id").agg(F.min("point_id").alias("src"), F.max("point_id").alias("dst"))
+    e = P.pairs(pts, RADIUS)
+    allowed = e.where((F.col("src") + F.col("dst")) % 2 == 0).select("cloud_id", "src", "dst").union(forced).distinct()
+    out = hyperdigraph.masked(e.where((F.col("src") + F.col("dst")) % 2 == 0), forced, allowed)
+    return out.select("cloud_id", "src", "dst", F.round("birth", 6).alias("birth"))
+
+
+@query("""WITH a AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 ra FROM embeddings WHERE vec_id%4<>3), b AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 rb FROM embeddings WHERE vec_id%4<>2),
+  m AS (SELECT coalesce(a.label, b.label) label, a.vec_id a, b.vec_id b, row_number() OVER (PARTITION BY coalesce(a.label, b.label) ORDER BY ra NULLS LAST, rb)-1 v FROM a FULL JOIN b ON a.label=b.label AND a.vec_id=b.vec_id)
+  SELECT label cloud_id, 0 factor, a point_id, v vertex FROM m WHERE a IS NOT NULL UNION ALL SELECT label, 1, b, v FROM m WHERE b IS NOT NULL""")
+def overlap_map(spark, sf_dir):
+    """Vertices of two clouds of which some are one."""
+    e = _table(spark, sf_dir, "embeddings")
+    one, two = (P.points(e.where(F.col("vec_id") % 4 != k), F.col("label"), F.col("vec_id"), F.slice("embedding", 1, 2)) for k in (3, 2))
+    pairs = e.where("vec_id % 4 < 2").select(F.col("label").alias("cloud_id"), F.col("vec_id").alias("a_id"), F.col("vec_id").alias("b_id"))
+    return interaction.overlap(one, two, pairs)
+
+
+@query(f"WITH {BARS}, k AS (SELECT least(0.0, min(birth)) lo, greatest(max(birth), max(death) FILTER (death<'infinity'::DOUBLE)) hi FROM bars WHERE dim=0), "
+       "c AS (SELECT topology_id, count(*) n, count(*) FILTER (death='infinity'::DOUBLE) e FROM bars WHERE dim=0 GROUP BY 1) SELECT topology_id, 4*4+4+2 AS width, n::DOUBLE total, e::DOUBLE essential FROM c")
+def barcode_vectors(spark, sf_dir):
+    """Vectors of frozen bins: their widths and what they count."""
+    bars = _lineitem_bars(spark, sf_dir)
+    v = barcodes.BarcodeVectorizer(4, [0]).fit(bars).transform(bars)
+    x = F.col("features")
+    return v.select("topology_id", F.size(x).alias("width"), spectra.total(x).alias("total"), (spectra.total(F.slice(x, 17, 4)) + F.get(x, F.lit(21))).alias("essential"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') \"hour\", user_id, event_type, count(*) n FROM events GROUP BY 1,2,3")
+def streamed_windows(spark, sf_dir):
+    """Windowed counts of a stream of events, run until all input is read."""
+    import uuid
+
+    from ..operators.components import shared_folder
+    from ..streaming.edges import transition_edges
+
+    schema = _table(spark, sf_dir, "events").schema
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/*")
+    hour = F.date_format("window.start", "yyyy-MM-dd HH:00").alias("hour")
+    rows = transition_edges(source).select(hour, "user_id", "event_type", "n")
+    put = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")
+    q = rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")

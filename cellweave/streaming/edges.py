@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def transition_edges(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of event types of each user by window; rows later than the watermark are dropped by Spark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "user_id", "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 def l0_trace(edges: DataFrame) -> DataFrame:
