@@ -21,12 +21,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import packed, slices, text_bytes, unpacked
+from .common import packed, packed_numbers, slices, text_bytes, unpacked, unpacked_numbers
 
 #: UTF-8 bytes of text for each block, and for each bucket of words, about.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +39,19 @@ def _texts(column) -> list[str]:
     return [b.decode("utf-8", "replace") if b else "" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def _word_list(ws: list[str]) -> bytes:
+    raw = [w.encode() for w in ws]
+    lengths = np.array([len(w) for w in raw], np.uint32)
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(raw)).tobytes() + lengths.tobytes() + b"".join(raw))
+
+
+def _listed_words(blob: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)
+    return [raw[a:b].decode() for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
 def blocks(docs: DataFrame, n: int) -> DataFrame:
     """(block, docs): rows of packed (doc_id, text)."""
 
@@ -67,6 +81,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
     n_blocks, n_buckets = max(1, -(-total // block_bytes)), max(1, -(-total // bucket_bytes))
     dealt = blocks(docs, n_blocks)
 
+    def in_buckets(seen) -> dict[int, list[str]]:
+        """Words by bucket, sorted: the order in which a block asks and is answered."""
+        by = defaultdict(list)
+        for w in sorted(seen):
+            by[zlib.crc32(w.encode()) % n_buckets].append(w)
+        return by
+
     def listed(group: pa.Table) -> pa.Table:
         import regex
 
@@ -74,11 +95,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
         for _, texts in _each(group):
             for text in texts:
                 seen.update(find(text))
-        by = defaultdict(list)
-        for w in sorted(seen):
-            by[zlib.crc32(w.encode()) % n_buckets].append(w)
+        by = in_buckets(seen)
         home = group.column("block")[0].as_py()
-        lists = [packed(pa.record_batch([pa.array(ws, pa.string())], ["word"])) for ws in by.values()]
+        lists = [_word_list(ws) for ws in by.values()]
         return pa.table({"bucket": pa.array(list(by), pa.int32()), "block": pa.array([home] * len(by), pa.int32()), "words": pa.array(lists, pa.binary())})
 
     def answered(group: pa.Table) -> pa.Table:
@@ -88,17 +107,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
         known: dict[str, list[int]] = {}
         replies = []
         for blob in group.column("words"):
-            for batch in unpacked(blob.as_buffer()):
-                ids = []
-                for w in batch.column(0).to_pylist():
-                    if w not in known:
-                        known[w] = encoding._encode_single_piece(w)
-                    ids.append(known[w])
-                replies.append(packed(pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])))
-        return pa.table({"block": group.column("block"), "known": pa.array(replies, pa.binary())})
+            ids = []
+            for w in _listed_words(blob.as_py()):
+                if w not in known:
+                    known[w] = encoding._encode_single_piece(w)
+                ids.append(known[w])
+            replies.append(packed_numbers([len(x) for x in ids], [i for x in ids for i in x]))
+        return pa.table({"bucket": group.column("bucket"), "block": group.column("block"), "ids": pa.array(replies, pa.binary())})
 
     words = dealt.groupBy("block").applyInArrow(listed, "bucket int, block int, words binary")
-    replies = words.groupBy("bucket").applyInArrow(answered, "block int, known binary")
+    replies = words.groupBy("bucket").applyInArrow(answered, "bucket int, block int, ids binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
 
     def reassembled(group: pa.Table, replies: pa.Table) -> pa.Table:
@@ -106,24 +124,32 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
 
         find = regex.compile(pattern).findall
         token = {rank: raw for raw, rank in load_ranks(vocabulary).items()}
-        known = {}  # word: (count, ids, bytes)
-        for blob in replies.column("known"):
-            for batch in unpacked(blob.as_buffer()):
-                for w, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    known[w] = (len(ids), ",".join(map(str, ids)) if digests else ids, b"".join([token[i] for i in ids]))
-        names, first, second, third = [], [], [], []
+        code: dict[str, int] = {}  # the block's words, numbered as they come
+        names, texts_as_codes = [], []
         for doc_ids, texts in _each(group):
             names += doc_ids
             for text in texts:
-                found = [known[w] for w in find(text)]
-                decoded = b"".join([x[2] for x in found])
-                if digests:
-                    first.append(sum([x[0] for x in found]))
-                    second.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
-                    third.append(hashlib.sha256(decoded).hexdigest())
-                else:
-                    first.append([i for x in found for i in x[1]])
-                    second.append(decoded)
+                texts_as_codes.append(np.array([code.setdefault(w, len(code)) for w in find(text)], np.int32))
+        known: list = [None] * len(code)  # of each word: (count, ids, bytes)
+        replied = dict(zip(replies.column("bucket").to_pylist(), replies.column("ids").to_pylist()))
+        for k, ws in in_buckets(code).items():
+            lengths, flat = unpacked_numbers(replied.pop(k))
+            flat, at = flat.tolist(), 0
+            for w, n in zip(ws, lengths.tolist()):
+                ids = flat[at : at + n]
+                at += n
+                known[code[w]] = (n, ",".join(map(str, ids)) if digests else ids, b"".join([token[i] for i in ids]))
+        first, second, third = [], [], []
+        for codes in texts_as_codes:
+            found = [known[c] for c in codes.tolist()]
+            decoded = b"".join([x[2] for x in found])
+            if digests:
+                first.append(sum([x[0] for x in found]))
+                second.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
+                third.append(hashlib.sha256(decoded).hexdigest())
+            else:
+                first.append([i for x in found for i in x[1]])
+                second.append(decoded)
         if digests:
             return pa.table({"doc_id": pa.array(names, pa.int64()), "n_tokens": pa.array(first, pa.int64()), "ids_sha256": pa.array(second, pa.string()), "decoded_sha256": pa.array(third, pa.string())})
         return pa.table({"doc_id": pa.array(names, pa.int64()), "ids": pa.array(first, pa.list_(pa.int32())), "decoded": pa.array(second, pa.binary())})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one Python call works on at a time.
@@ -143,3 +145,16 @@ def packed(batch: pa.RecordBatch) -> bytes:
 
 def unpacked(raw) -> list[pa.RecordBatch]:
     return list(pa.ipc.open_stream(raw))
+
+
+def packed_numbers(*columns) -> bytes:
+    """Columns of numbers from 0 to 2**64 - 1, compressed by planes of bytes."""
+    out = []
+    for x in columns:
+        x = np.asarray(x).astype(np.uint64)
+        out.append((len(x), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(out))
+
+
+def unpacked_numbers(blob: bytes) -> list[np.ndarray]:
+    return [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, n).T).view(np.uint64).ravel() for n, x in pickle.loads(zstandard.ZstdDecompressor().decompress(blob))]
