@@ -21,6 +21,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Vectors that the tree is fitted on, and queries that calibrate it, at most.
@@ -28,19 +29,23 @@ SAMPLE_ROWS, CALIBRATION_QUERIES = 20_000, 200
 BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 500, 2048
 TARGET_RECALL = 0.98
 #: Rows of a leaf that one group takes, about.
-GROUP_ROWS = 4000
+GROUP_ROWS = 16_000
 
 
 def matrix(column) -> tuple[np.ndarray, np.ndarray]:
     """(vectors as doubles, their row numbers) of the usable vectors that have the length of most."""
-    rows = column.to_pylist()
-    sizes = [len(v) if v is not None else -1 for v in rows]
-    known = [s for s in sizes if s > 0]
-    d = max(set(known), key=known.count) if known else 0
-    keep = [i for i, s in enumerate(sizes) if s == d and d]
-    x = np.array([[np.nan if c is None else c for c in rows[i]] for i in keep], float).reshape(len(keep), d)
-    ok = np.isfinite(x).all(1) & (x != 0).any(1) if len(x) else np.zeros(0, bool)
-    return x[ok], np.array(keep, int)[ok]
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.array(pc.fill_null(pc.list_value_length(column), -1))
+    known = sizes[sizes > 0]
+    if not len(known):
+        return np.zeros((0, 0)), np.zeros(0, int)
+    names, times = np.unique(known, return_counts=True)
+    d = int(names[times.argmax()])
+    keep = np.flatnonzero(sizes == d)
+    x = np.array(pc.fill_null(column.take(pa.array(keep)).flatten().cast(pa.float64()), float("nan"))).reshape(-1, d)
+    ok = np.isfinite(x).all(1) & (x != 0).any(1)
+    return x[ok], keep[ok]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
