@@ -16,18 +16,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
-from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import packed, packed_numbers, slices, text_bytes, unpacked, unpacked_numbers
+from .common import buffers, packed, packed_numbers, ranges, run_hashes, slices, text_bytes, unpacked, unpacked_numbers
 
 #: UTF-8 bytes of text for each block, and for each bucket of words, about.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,21 +34,91 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _texts(column) -> list[str]:
-    return [b.decode("utf-8", "replace") if b else "" for b in column.cast(pa.binary()).to_pylist()]
+#: The pattern that `pretokens` follows without a regular expression.
+CLASSIC = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text that are split at a time.
+PIECE = 1 << 20
+
+
+@lru_cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 letter, 2 number, 3 white space, 0 any other."""
+    import regex
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\s")):
+        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
+    return out
+
+
+def _classic(data: np.ndarray, at: np.ndarray, text: str) -> np.ndarray:
+    """Byte positions where the matches of CLASSIC begin, texts one after the other.
+
+    A match begins where the kind of character changes, but a space goes with what follows it,
+    a run of white space before other text leaves its last character to itself, and a
+    contraction at the beginning of a match ends after its letters.
+    """
+    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    n, lead = len(cp), np.flatnonzero((data & 0xC0) != 0x80)
+    kind = _kinds()[cp]
+    edge = np.zeros(n + 1, bool)
+    edge[np.searchsorted(lead, at)] = True
+    change = edge[:n].copy()
+    change[1:] |= kind[1:] != kind[:-1]
+    white = kind == 3
+    glued = np.zeros(n, bool)  # after a space of the same text
+    glued[1:] = (cp[:-1] == 32) & ~edge[1:n]
+    ending = np.zeros(n, bool)  # white space before other text
+    ending[:-1] = ~white[1:] & ~edge[1:n]
+    start = np.where(white, change | ending, change & ~(glued & ~white))
+    quote = np.flatnonzero((cp == 39) & start)
+    padded, walls = np.append(cp, [0, 0, 0]), np.append(edge, [True, True])
+    one, two = padded[quote + 1], padded[quote + 2]
+    inside = ~walls[quote + 1]
+    short = quote[inside & np.isin(one, np.array([ord(c) for c in "stmd"], np.uint32))]
+    pair = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    long = quote[inside & ~walls[quote + 2] & pair]
+    start = np.append(start, [False] * 3)
+    start[short + 1] = False
+    start[long + 1] = False
+    start[long + 2] = False
+    start[short + 2] = True
+    start[long + 3] = True
+    return lead[np.flatnonzero(start[:n])]
+
+
+def pretokens(data: np.ndarray, at: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matches of the pattern in each text, which cover it: (starts, ends, first match of each text) in bytes."""
+    raw = data.tobytes()
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        text = None
+    if pattern == CLASSIC and text is not None:
+        starts = _classic(data, at, text) if len(data) else np.zeros(0, np.int64)
+    else:
+        import regex
+
+        find, found = regex.compile(pattern).findall, []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            for w in find(raw[a:b].decode("utf-8", "replace")):
+                found.append(a)
+                a += len(w.encode())
+        starts = np.array(found, np.int64)
+    return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, at)
 
 
-def _word_list(ws: list[str]) -> bytes:
-    raw = [w.encode() for w in ws]
+def _word_list(raw: list[bytes]) -> bytes:
     lengths = np.array([len(w) for w in raw], np.uint32)
     return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(raw)).tobytes() + lengths.tobytes() + b"".join(raw))
 
 
-def _listed_words(blob: bytes) -> list[str]:
+def _listed_words(blob: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.uint32, 1)[0])
     ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)
-    return [raw[a:b].decode() for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
 def blocks(docs: DataFrame, n: int) -> DataFrame:
@@ -68,11 +137,29 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text", home).mapInArrow(dealt, "block int, docs binary")
 
 
-def _each(group: pa.Table):
-    """(doc_ids, texts) of the packed rows of a block, one after the other."""
-    for blob in group.column("docs"):
-        for batch in unpacked(blob.as_buffer()):
-            yield batch.column("doc_id").to_pylist(), _texts(batch.column("text"))
+def _pieces(group: pa.Table, pattern: str):
+    """(doc_ids, hash of each match, bytes, starts, ends, first match of each text) of a block's texts, by pieces."""
+    table = pa.Table.from_batches([b for blob in group.column("docs") for b in unpacked(blob.as_buffer())])
+    for batch in table.combine_chunks().to_batches():
+        for part in slices(batch, 1, PIECE):
+            data, at = buffers(part.column(1))
+            starts, ends, first = pretokens(data, at, pattern)
+            yield part.column(0), run_hashes(data, starts, ends), data, starts, ends, first
+
+
+class _Ragged:
+    """Byte strings end to end, from which many can be picked at once."""
+
+    def __init__(self, rows: list[bytes]):
+        self.data, self.lengths = np.frombuffer(b"".join(rows), np.uint8), np.array([len(r) for r in rows], np.int64)
+        self.at = np.cumsum(self.lengths) - self.lengths
+
+    def texts(self, index: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """For each text the strings of its matches, joined; index has a row for each match."""
+        n = self.lengths[index]
+        ends = np.concatenate([[0], np.cumsum(n)])[first]
+        raw = self.data[ranges(self.at[index], n)].tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -81,30 +168,30 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
     n_blocks, n_buckets = max(1, -(-total // block_bytes)), max(1, -(-total // bucket_bytes))
     dealt = blocks(docs, n_blocks)
 
-    def in_buckets(seen) -> dict[int, list[str]]:
-        """Words by bucket, sorted: the order in which a block asks and is answered."""
-        by = defaultdict(list)
-        for w in sorted(seen):
-            by[zlib.crc32(w.encode()) % n_buckets].append(w)
-        return by
+    def buckets(hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(bucket, start, end) in ascending hashes: the order in which a block asks and is answered."""
+        cut = np.searchsorted((hashes >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32), np.arange(n_buckets + 1))
+        return [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if a < b]
 
     def listed(group: pa.Table) -> pa.Table:
-        import regex
-
-        find, seen = regex.compile(pattern).findall, set()
-        for _, texts in _each(group):
-            for text in texts:
-                seen.update(find(text))
-        by = in_buckets(seen)
+        seen: dict[int, bytes] = {}
+        for _, hashes, data, starts, ends, _ in _pieces(group, pattern):
+            raw = data.tobytes()
+            names, at = np.unique(hashes, return_index=True)
+            for h, a, b in zip(names.tolist(), starts[at].tolist(), ends[at].tolist()):
+                if h not in seen:
+                    seen[h] = raw[a:b]
+        order = np.array(sorted(seen), np.uint64)
+        names, parts = order.tolist(), buckets(order)
         home = group.column("block")[0].as_py()
-        lists = [_word_list(ws) for ws in by.values()]
-        return pa.table({"bucket": pa.array(list(by), pa.int32()), "block": pa.array([home] * len(by), pa.int32()), "words": pa.array(lists, pa.binary())})
+        lists = [_word_list([seen[h] for h in names[a:b]]) for _, a, b in parts]
+        return pa.table({"bucket": pa.array([k for k, _, _ in parts], pa.int32()), "block": pa.array([home] * len(parts), pa.int32()), "words": pa.array(lists, pa.binary())})
 
     def answered(group: pa.Table) -> pa.Table:
         import tiktoken
 
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(vocabulary), special_tokens={})
-        known: dict[str, list[int]] = {}
+        known: dict[bytes, list[int]] = {}
         replies = []
         for blob in group.column("words"):
             ids = []
@@ -120,38 +207,31 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
 
     def reassembled(group: pa.Table, replies: pa.Table) -> pa.Table:
-        import regex
-
-        find = regex.compile(pattern).findall
         token = {rank: raw for raw, rank in load_ranks(vocabulary).items()}
-        code: dict[str, int] = {}  # the block's words, numbered as they come
-        names, texts_as_codes = [], []
-        for doc_ids, texts in _each(group):
-            names += doc_ids
-            for text in texts:
-                texts_as_codes.append(np.array([code.setdefault(w, len(code)) for w in find(text)], np.int32))
-        known: list = [None] * len(code)  # of each word: (count, ids, bytes)
+        pieces = [(ids, hashes, first) for ids, hashes, _, _, _, first in _pieces(group, pattern)]
+        names = np.unique(np.concatenate([np.unique(h) for _, h, _ in pieces])) if pieces else np.zeros(0, np.uint64)
         replied = dict(zip(replies.column("bucket").to_pylist(), replies.column("ids").to_pylist()))
-        for k, ws in in_buckets(code).items():
+        ids: list[list[int]] = []
+        for k, _, _ in buckets(names):
             lengths, flat = unpacked_numbers(replied.pop(k))
-            flat, at = flat.tolist(), 0
-            for w, n in zip(ws, lengths.tolist()):
-                ids = flat[at : at + n]
-                at += n
-                known[code[w]] = (n, ",".join(map(str, ids)) if digests else ids, b"".join([token[i] for i in ids]))
-        first, second, third = [], [], []
-        for codes in texts_as_codes:
-            found = [known[c] for c in codes.tolist()]
-            decoded = b"".join([x[2] for x in found])
-            if digests:
-                first.append(sum([x[0] for x in found]))
-                second.append(hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest())
-                third.append(hashlib.sha256(decoded).hexdigest())
-            else:
-                first.append([i for x in found for i in x[1]])
-                second.append(decoded)
+            flat, ends = flat.tolist(), np.cumsum(lengths, dtype=np.int64).tolist()
+            ids += [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        count = np.array([len(x) for x in ids], np.int64)
+        raw = _Ragged([b"".join([token[i] for i in x]) for x in ids])
+        shown = _Ragged([b"".join([b"%d," % i for i in x]) if digests else np.array(x, np.int32).tobytes() for x in ids])
+        out: list[list] = [[], [], [], []]
+        for doc_ids, hashes, first in pieces:
+            at = np.searchsorted(names, hashes)
+            out[0].append(doc_ids)
+            out[1].append(np.diff(np.concatenate([[0], np.cumsum(count[at])])[first]))
+            coded, decoded = shown.texts(at, first), raw.texts(at, first)
+            out[2] += [hashlib.sha256(x[:-1]).hexdigest() for x in coded] if digests else coded
+            out[3] += [hashlib.sha256(x).hexdigest() for x in decoded] if digests else decoded
+        doc_ids = pa.chunked_array(out[0], pa.int64())
         if digests:
-            return pa.table({"doc_id": pa.array(names, pa.int64()), "n_tokens": pa.array(first, pa.int64()), "ids_sha256": pa.array(second, pa.string()), "decoded_sha256": pa.array(third, pa.string())})
-        return pa.table({"doc_id": pa.array(names, pa.int64()), "ids": pa.array(first, pa.list_(pa.int32())), "decoded": pa.array(second, pa.binary())})
+            return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(np.concatenate(out[1]), pa.int64()), "ids_sha256": pa.array(out[2], pa.string()), "decoded_sha256": pa.array(out[3], pa.string())})
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(out[1]))]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(out[2]), np.int32)))
+        return pa.table({"doc_id": doc_ids, "ids": lists, "decoded": pa.array(out[3], pa.binary())})
 
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(reassembled, schema)

@@ -158,3 +158,9 @@ def packed_numbers(*columns) -> bytes:
 
 def unpacked_numbers(blob: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, n).T).view(np.uint64).ravel() for n, x in pickle.loads(zstandard.ZstdDecompressor().decompress(blob))]
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its length."""
+    total = int(lengths.sum())
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total) if total else np.zeros(0, np.int64)

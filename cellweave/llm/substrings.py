@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import blocks
-from .common import _BYTE, buffers, text_bytes, unpacked
+from .common import _BYTE, buffers, ranges, text_bytes, unpacked
 
 LENGTH = 50
 HALF = LENGTH // 2
@@ -250,7 +250,7 @@ class _Rounds:
         out, waiting = [], {}
         for k, a, b in self.split(g[some]):
             x = some[a:b]
-            region = data[_ranges(first[x], n[a:b] + LENGTH - 1)].tobytes()
+            region = data[ranges(first[x], n[a:b] + LENGTH - 1)].tobytes()
             out.append((k, _squeeze((n[a:b].astype(np.uint8), doc[x], region))))
             waiting[k] = (t[x].astype(np.int32), first[x] - at[t[x]], n[a:b].astype(np.uint8))
         out.append((-1 - block, _squeeze((_merged(covered), waiting))))
@@ -277,16 +277,10 @@ def _window_ranks(n: np.ndarray, raw: bytes):
         stop = max(done + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
         half = ranks(data[begin : ends[stop - 1]])
         starts = np.concatenate([[0], ends[done : stop - 1] - begin]) if stop - done > 1 else np.zeros(1, np.int64)
-        yield _join(half, HALF, half)[_ranges(starts, n[done:stop])]
+        yield _join(half, HALF, half)[ranges(starts, n[done:stop])]
         done = stop
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each start, as many as its length."""
-    total = int(lengths.sum())
-    return np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(total) if total else np.zeros(0, np.int64)
-
-
 def _squeeze(x) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x))
 
@@ -357,7 +351,7 @@ def _spans(docs: DataFrame, block_bytes: int, schema: str, told) -> DataFrame:
         for k, (t, p, n) in waiting.items():
             n = n.astype(np.int64)
             hit = bits[k][: n.sum()]
-            t, p = np.repeat(t.astype(np.int64), n)[hit], _ranges(p, n)[hit]
+            t, p = np.repeat(t.astype(np.int64), n)[hit], ranges(p, n)[hit]
             more.append(np.stack([t, p, p + LENGTH]))
         spans = _merged(np.concatenate([covered, *more], 1))
         cut = np.searchsorted(spans[0], np.arange(len(ids) + 1))

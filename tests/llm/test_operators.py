@@ -233,6 +233,21 @@ def test_op5(spark, small):
         assert got[r.doc_id] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
 
 
+def test_op5_splits_as_the_expression():
+    import regex
+
+    assert bpe.CLASSIC == public_tokenizers.PATTERN
+    r = random.Random(9)
+    marks = [" ", " ", "\n", "\t", "\u00a0", "\u3000", "'", "'", "s", "t", "r", "e", "v", "l", "d", "m", "S", "1", "\u00b2", "\u0663", "\u00e9", "\u03bb", "\u4e2d", "!", "-", "\u2019", "\U0001f600", "\u0301", "\x1c", "\x00"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    data, at = __import__("cellweave.llm.common", fromlist=["x"]).buffers(pa.array(texts))
+    starts, ends, first = bpe.pretokens(data, at, bpe.CLASSIC)
+    raw = bytes(data)
+    for k, t in enumerate(texts):
+        own = [raw[a:b].decode() for a, b in zip(starts[first[k] : first[k + 1]], ends[first[k] : first[k + 1]])]
+        assert own == regex.findall(bpe.CLASSIC, t), repr(t)
+
+
 def test_op5_cases(spark):
     df = odd(spark)
     encoding = own_encoding()
