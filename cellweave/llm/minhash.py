@@ -191,7 +191,7 @@ def link(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> Dat
 
 
 def drop_copies(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that `link` keeps, with all their columns; a doc_id that recurs keeps one row."""
+    """The rows of docs that `link` keeps, with all their columns; rows that repeat a doc_id stay or go together."""
     gone = link(docs, n, percent).where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     return left.select(*docs.columns)
