@@ -380,6 +380,33 @@ def test_op9(spark, monkeypatch):
     assert decontaminate.leaks(many, bench).count() == 30
 
 
+def test_op9_finds_all_that_alignment_finds(spark, monkeypatch):
+    r = random.Random(6)
+    common = ["the", "of", "and", "élan"]
+    word = lambda: r.choice(common) if r.random() < 0.3 else "".join(r.choice("abcdefghij") for _ in range(5))
+    filler = lambda n: [word() for _ in range(n)]
+    items = [filler(n) for n in (40, 24, 15, 9, 3)]
+    texts = []
+    for item in items:
+        for every in (2, 3, 4, 5):
+            texts.append(filler(30) + [word() + "x" if k % every == every - 1 else w for k, w in enumerate(item)] + filler(20))  # edited
+            texts.append([x for k, w in enumerate(item) for x in ([w, "new"] if k % every == 0 else [w])])  # inserted
+        texts += [item[: len(item) // 2] + filler(9), filler(40) + item + filler(60) + item[::-1], filler(90), [w.upper() for w in item]]
+        texts += [item] * 3  # what was edited out of the others is more frequent than what they keep
+    for held, cells in ((2_000_000, 1 << 17), (40, 30)):
+        monkeypatch.setattr(decontaminate, "HELD", held, raising=False)
+        monkeypatch.setattr(decontaminate, "CELLS", cells, raising=False)
+        bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+        got = {(x.doc_id, x.item_id): x.score for x in decontaminate.leaks(documents(spark, [" ".join(t) for t in texts]), bench).collect()}
+        truth = {}
+        for d, t in enumerate(texts):
+            for k, x in enumerate(items):
+                score = plain_align([w.lower() for w in x], [w.lower() for w in t])
+                if score >= max(len(x), 6):
+                    truth[d, k] = score / (2 * len(x))
+        assert len(got) == len(truth) and got == truth and sum(0.5 <= x < 0.7 for x in truth.values()) > 5
+
+
 def test_op9_on_the_small_table(spark, small):
     items = {r.item_id: re.findall(r"\w+", r.text.lower()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in queries.op9_decontaminate(spark, SMALL).where("score = 1").collect()}
