@@ -4,8 +4,12 @@ The values that the rules find are labelled credentials. For each rule a prefix
 bounded sample of them is built over classes of characters, and its states are merged
 wherever their outgoing frequencies agree within a Hoeffding bound (ALERGIA), which gives a
 probabilistic automaton. Every other candidate token is scored under each automaton against
-an automaton of ordinary candidates; a token whose log-likelihood ratio for a character is
-high enough is a further span of kind ``grammar``. Spans of the rules always stay.
+an automaton of ordinary candidates; a token whose log-likelihood ratio, of the whole token,
+is high enough is a further span of kind ``grammar``. Spans of the rules always stay.
+
+Candidates that an automaton of credentials accepts (their mean log-likelihood is that of its
+own values) are no sample of ordinary ones, however many there are; those among them that the
+rest explain better are added to it afterwards.
 
 Positions count code points; a null text counts as empty and has no spans; repeated rows give
 a row each; an empty table gives an empty result; other columns are ignored. Texts are
@@ -17,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,8 +39,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ANY = r"(?i)(password|passwd|secret|token|api_?key)|[A-Za-z0-9+/_=-]{16}"
 #: Labelled values per kind, and ordinary candidates, that automata are fitted on at most.
 SAMPLE = 1500
-#: Least mean log-likelihood ratio for a character.
+#: Least log-likelihood ratio of a token, for a character of the shortest candidate and its end.
 LEAST_RATIO = 1.0
+SHORTEST = 16
+#: An automaton accepts what has the mean log-likelihood for a character of its values, but for the lowest hundredth, or is lower by so much.
+ACCEPT_SLACK = 0.5
+#: What an accepted token's ratio is below zero at least if it is an ordinary one.
+BACK_RATIO = 0.25
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -141,15 +150,30 @@ class Formats:
 
     def __init__(self, labelled: dict[int, list[str]], ordinary: list[str]):
         self.known = {k: Automaton([symbols(v) for v in sorted(vs)]) for k, vs in labelled.items() if vs}
+        self.floors = {}
+        for k, a in self.known.items():
+            means = sorted(a.logp(s) / (len(s) + 1) for s in map(symbols, labelled[k]))
+            self.floors[k] = means[len(means) // 100] - ACCEPT_SLACK
+        self.learn(ordinary)
+
+    def learn(self, ordinary: list[str], accepted: list[str] = ()) -> None:
+        """Fit the automaton of ordinary tokens, also on those accepted that an automaton of all candidates explains better than any of credentials does."""
+        if accepted:
+            self.learn([*ordinary, *accepted])
+            ordinary = [*ordinary, *(v for v in accepted if self.ratio(v) < -BACK_RATIO)]
         self.ordinary = Automaton([symbols(v) for v in sorted(ordinary)]) if ordinary else None
 
+    def accepts(self, token: str) -> bool:
+        s = symbols(token)
+        return any(a.logp(s) / (len(s) + 1) >= self.floors[k] for k, a in self.known.items())
+
     def ratio(self, token: str) -> float:
-        """The best mean log-likelihood ratio for a character over the kinds; minus infinity if nothing was learnt."""
+        """The best log-likelihood ratio over the kinds, by the length of the shortest candidate; minus infinity if nothing was learnt."""
         if not self.known:
             return -math.inf
         s = symbols(token)
         other = self.ordinary.logp(s) if self.ordinary else (len(s) + 1) * math.log(1 / 40)
-        return max(a.logp(s) for a in self.known.values()) / (len(s) + 1) - other / (len(s) + 1)
+        return (max(a.logp(s) for a in self.known.values()) - other) / (SHORTEST + 1)
 
 
 def _likely(column) -> pa.Array:
@@ -157,7 +181,7 @@ def _likely(column) -> pa.Array:
 
 
 def fit(docs: DataFrame, most: int = SAMPLE) -> Formats:
-    """Learn formats from the values that the rules find in all of docs and from ordinary candidates, `most` distinct ones of each."""
+    """Learn formats from the values that the rules find in all of docs and from ordinary candidates, `most` distinct ones of each at most."""
 
     def seen(batches):
         for batch in batches:
@@ -171,11 +195,21 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Formats:
                 yield pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([v[:256] for _, v in found], pa.string())], ["kind", "value"])
 
     values = settle(docs.select("text").mapInArrow(seen, "kind int, value string").distinct())
-    labelled: dict[int, list[str]] = defaultdict(list)
-    for k in range(4):
-        least = values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(most)
-        labelled[k] = [r.value for r in least.select("value").collect()]
-    return Formats(labelled, labelled.pop(3))
+
+    def least(values: DataFrame) -> list[str]:
+        return [r.value for r in values.orderBy(F.xxhash64("value"), "value").limit(most).select("value").collect()]
+
+    formats = Formats({k: least(values.where(F.col("kind") == k)) for k in range(3)}, [])
+    shared = docs.sparkSession.sparkContext.broadcast(formats)  # a few thousand states
+
+    def judged(batches):
+        own = shared.value
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([own.accepts(v) for v in batch.column(0).to_pylist()], pa.bool_())], ["value", "accepted"])
+
+    judgement = settle(values.where("kind = 3").select("value").mapInArrow(judged, "value string, accepted boolean"))
+    formats.learn(least(judgement.where("not accepted")), least(judgement.where("accepted")))
+    return formats
 
 
 def spans(text: str, formats: Formats, least: float = LEAST_RATIO) -> tuple[list, list]:

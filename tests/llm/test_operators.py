@@ -455,6 +455,20 @@ def test_op10_grammar(spark):
     assert secrets.scan(odd(spark), formats).count() == 10 and secrets.scan(docs.limit(0), formats).count() == 0
 
 
+@pytest.mark.parametrize("bare", [10, 600])
+def test_op10_finds_bare_keys_however_many(spark, bare):
+    r = random.Random(8)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for key in (lambda: some("0123456789abcdef", 18) + "7f", lambda: "ghp_" + some(letters, 35) + "7", lambda: some(letters, 23) + "7"):
+        texts = [f"words password={key()} then file_{k}_version-{k % 7}-of-report here" for k in range(300)]
+        texts += [f"see {key()} there" for _ in range(bare)]
+        docs = documents(spark, texts)
+        rows = {x.doc_id: x for x in secrets.scan(docs, secrets.fit(docs)).collect()}
+        assert sum(rows[k].n_grammar for k in range(300)) <= 3
+        assert sum(rows[k].n_grammar for k in range(300, 300 + bare)) >= 0.95 * bare
+
+
 def test_automaton_generalises():
     r = random.Random(0)
     own = secrets.Automaton(["A" * 4 + "".join(r.choice("A9") for _ in range(12)) for _ in range(300)])
