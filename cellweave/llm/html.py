@@ -3,9 +3,9 @@
 A page is read into its element tree by a tolerant scanner (unclosed paragraphs and list
 items are closed by the next one, stray end tags are ignored, a page may break off anywhere).
 The main part is the outermost ``article`` (else ``main``, else ``body``). Elements that are
-furniture by name, role or class are left out. Where a page names no main part, subtrees are
-hashed, counted for each host over all pages, and those that recur on many of its pages are
-left out as well; inside an article nothing is dropped for being frequent, since articles
+furniture by name, role or class are left out. Where a page names no main part, those subtrees
+are left out as well that recur on many of its host's pages: on a share of those that name no
+main part, or of all, where what lies outside an article (or main) counts. Inside an article nothing is dropped for being frequent, since articles
 that quote or copy each other are text.
 
 Cases: a null or empty page has the text ""; a null url counts as the host ""; repeated rows
@@ -43,6 +43,8 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 LEAST_PAGES, LEAST_SHARE = 8, 0.3
 #: Templates are sent to all executors if there are at most so many, and joined by host otherwise.
 BROADCAST_ROWS = 50_000
+#: Stands for the page itself among the hashes of its subtrees, which are not negative.
+PAGE = -1
 
 
 class Element:
@@ -170,40 +172,48 @@ def host_of(url):
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, subtree, page): the distinct hashes of block elements of each page that names no main part."""
+    """(host, subtree, own): the distinct hashes of block elements of each page outside its named main part, and PAGE once; own where it names none."""
 
     def listed(batches):
         for batch in batches:
             for part in slices(batch):
-                hosts, hashes = [], []
+                hosts, hashes, own = [], [], []
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     root = parse(page or "")
                     found, named = main_parts(root)
-                    if named:
-                        continue
-                    seen, stack = set(), list(found)
+                    inner, around = {id(x) for x in found} if named else set(), set()
+                    for x in found if named else ():
+                        while (x := x.parent) is not None and id(x) not in around:
+                            around.add(id(x))
+                    seen, stack = {PAGE}, (_first(root, "body") or [root]) if named else list(found)
                     while stack:
                         x = stack.pop()
-                        if x.tag not in INLINE and x.tag not in ("body", "#"):
+                        if id(x) in inner:
+                            continue
+                        if x.tag not in INLINE and x.tag not in ("body", "#") and id(x) not in around:
                             seen.add(subtree_hash(page, x))
                         stack += [y for y in x.parts if isinstance(y, Element) and not y.gone]
                     hosts += [host] * len(seen)
                     hashes += sorted(seen)
-                yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "subtree"])
+                    own += [not named] * len(seen)
+                yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(own, pa.bool_())], ["host", "subtree", "own"])
 
-    return pages.select(host_of("url").alias("host"), "html").mapInArrow(listed, "host string, subtree long")
+    return pages.select(host_of("url").alias("host"), "html").mapInArrow(listed, "host string, subtree long, own boolean")
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, subtree): what recurs on many pages of a host."""
-    sizes = pages.groupBy(host_of("url").alias("host")).agg(F.count("*").alias("pages"))
-    return subtrees(pages).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
+    """(host, subtree): what recurs on many pages of a host, of those that name no main part or of all."""
+    counts = subtrees(pages).groupBy("host", "subtree").agg(F.count("*").alias("n"), F.count_if("own").alias("n_own"))
+    counts = settle(counts.where((F.col("n") >= least_pages) | (F.col("subtree") == PAGE)))
+    sizes = counts.where(F.col("subtree") == PAGE).select("host", F.col("n").alias("pages"), F.col("n_own").alias("pages_own"))
+    often = (F.col("n") >= least_share * F.col("pages")) | ((F.col("n_own") >= least_pages) & (F.col("n_own") >= least_share * F.col("pages_own")))
+    return counts.where(F.col("subtree") != PAGE).join(sizes.where("pages_own > 0"), "host").where(often).select("host", "subtree")
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
     known = settle(templates(pages, least_pages, least_share))
-    # A host has at most (subtrees of a page) / least_share of them, so its list is bounded.
+    # A host has at most 2 * (subtrees of a page) / least_share of them, so its list is bounded.
     lists = known.groupBy("host").agg(F.collect_set("subtree").alias("template"))
     small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     joined = pages.select("page_id", "html", "url", host_of("url").alias("host")).join(F.broadcast(lists) if small else lists, "host", "left").select("page_id", "html", "url", "template")

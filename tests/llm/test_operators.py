@@ -341,6 +341,17 @@ def test_op8_templates(spark, monkeypatch):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_op8_templates_of_a_host_that_names_most_articles(spark):
+    menu = "<div><p>Site bar</p></div>"
+    pages = [(k, f"http://a.example/{k}", f"<body>{menu}<section><p>Story {k}</p></section></body>") for k in range(20)]  # a menu of their own
+    pages += [(k, f"http://a.example/{k}", f"<body><div>Top</div><div><article><p>Story {k}</p><p>Quoted</p></article></div></body>") for k in range(20, 120)]
+    pages += [(k, f"http://b.example/{k}", f"<body><div>Top</div><div><article><p>Story {k}</p><p>Quoted</p></article></div></body>") for k in range(120, 150)]
+    pages += [(150, "http://b.example/", "<body><div>Top</div><p>Story 150</p><p>Quoted</p></body>")]  # too few to count by themselves
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {k: f"Story {k}" if k < 20 else f"Story {k} Quoted" for k in range(151)}
+
+
 # 9 -----------------------------------------------------------------------------------------
 
 
