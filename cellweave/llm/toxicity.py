@@ -14,6 +14,7 @@ gives an empty result; other columns are ignored. Whole texts are read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -161,8 +162,13 @@ def learn_lexicon(sample: DataFrame, least_docs: int = 5, least_share: float = 0
                 owner = np.searchsorted(first, i, "right") - 1
                 low = np.full(part.num_rows, 2**63 - 1, np.int64)
                 np.minimum.at(low, owner, (g >> np.uint64(1)).astype(np.int64))
+                raw = data.tobytes()
+                for t in np.flatnonzero(np.diff(first) < 3).tolist():
+                    own = b" ".join(raw[starts[k] : ends[k]] for k in range(first[t], first[t + 1]))
+                    low[t] = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "big") >> 1
                 table = defaultdict(set)
                 for text, key, label in zip(part.column(1).to_pylist(), low.tolist(), part.column(2).to_pylist()):
+                    table[label, key].add("")  # stands for the text itself
                     for w in set(WORD.findall((text or "").lower())):
                         if len(w) <= 40:
                             table[label, key].add(w)
@@ -173,9 +179,9 @@ def learn_lexicon(sample: DataFrame, least_docs: int = 5, least_share: float = 0
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["term", "key", "label"])
 
     seen = sample.select("doc_id", "text", "label").mapInArrow(counted, "term string, key long, label int").distinct()
-    sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.label: r.n for r in seen.where("term = ''").groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
-    by = seen.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+    by = seen.where("term != ''").groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
     odds = F.col("a") / pos / ((F.col("b") + 0.5) / neg)
     rows = by.where((F.col("a") >= max(least_docs, math.ceil(least_share * pos))) & (odds >= least_odds)).select("term", "a", odds.alias("odds")).orderBy(F.desc("a"), "term").limit(most).collect()
     stems = [r for r in rows if r.term.endswith("*")]

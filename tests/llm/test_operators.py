@@ -306,6 +306,13 @@ def test_lexicon():
         assert lexicon.find(w) == (min(near)[::-1] if near else None)
 
 
+def test_lexicon_counts_copies_once(spark):
+    rows = [(k, "same copied passage here grobnik", 1) for k in range(900)] + [(900 + k, f"vexling w{k}" if k < 8 else f"plain number w{k} text", 1) for k in range(100)]
+    rows += [(2000 + k, f"kind words w{k} here", 0) for k in range(300)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert lexicon.find("vexling") is not None
+
+
 def test_quotation():
     lexicon = toxicity.Lexicon({"idiot": 3.0})
     assert toxicity.evidence("you idiot, go", lexicon)[0] > 0 == toxicity.evidence('they wrote "idiot" there', lexicon)[0]
