@@ -1,12 +1,15 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are dealt to blocks of bounded size by doc_id. Each block lists its distinct pre-tokens,
+Texts are dealt to blocks of bounded size. Each block lists its distinct pre-tokens,
 dealt to buckets by the word (positions stay in the block, where the text is, so that a word
 costs one entry for each block and not one for each occurrence); a bucket meets each of its
 words from all blocks, encodes every distinct one once and sends the ids back; each block
 joins them to its pre-tokens by word and puts its texts together by position. Decoding joins
 the token-byte table to the ids. Blocks and lists travel packed and compressed.
 
+Words are told apart by their bytes everywhere. Their hashes only order the lists and choose
+the buckets.
+
 Cases: a null text counts as empty, an empty text has no ids and the hashes of the empty
 string; repeated rows give a row each; an empty table gives an empty result; other columns of
 the input are ignored. Long texts are split and joined as a whole, with no limit of length.
@@ -23,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, packed, packed_numbers, ranges, run_hashes, slices, text_bytes, unpacked, unpacked_numbers
+from .common import buffers, distinct, packed, packed_numbers, ranges, run_hashes, slices, text_bytes, unpacked, unpacked_numbers
 
 #: UTF-8 bytes of text for each block, and for each bucket of words, about.
 BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 24 << 20
@@ -122,7 +125,7 @@ def _listed_words(blob: bytes) -> list[bytes]:
 
 
 def blocks(docs: DataFrame, n: int) -> DataFrame:
-    """(block, docs): rows of packed (doc_id, text)."""
+    """(block, docs): rows of packed (doc_id, text). Rows that share a doc_id, or have none, are spread by their texts."""
 
     def dealt(batches):
         for batch in batches:
@@ -133,18 +136,40 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
                 pieces = np.split(order, cut[1:])
                 yield pa.record_batch([pa.array(names, pa.int32()), pa.array([packed(part.take(pa.array(i)).select(["doc_id", "text"])) for i in pieces], pa.binary())], ["block", "docs"])
 
-    home = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block")
+    home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
     return docs.select("doc_id", "text", home).mapInArrow(dealt, "block int, docs binary")
 
 
-def _pieces(group: pa.Table, pattern: str):
-    """(doc_ids, hash of each match, bytes, starts, ends, first match of each text) of a block's texts, by pieces."""
+def _pieces(group: pa.Table, pattern: str, seen: dict[bytes, int], hashes: list[int]):
+    """Yield (doc_ids, number of each match's word, first match of each text) of a block's texts, by pieces.
+
+    Words are numbered in seen as they come; hashes takes the hash of each new one.
+    """
     table = pa.Table.from_batches([b for blob in group.column("docs") for b in unpacked(blob.as_buffer())])
     for batch in table.combine_chunks().to_batches():
         for part in slices(batch, 1, PIECE):
             data, at = buffers(part.column(1))
             starts, ends, first = pretokens(data, at, pattern)
-            yield part.column(0), run_hashes(data, starts, ends), data, starts, ends, first
+            own = run_hashes(data, starts, ends)
+            which, one = distinct(data, starts, ends, own)
+            raw, numbers = data.tobytes(), []
+            for h, a, b in zip(own[one].tolist(), starts[one].tolist(), ends[one].tolist()):
+                k = seen.setdefault(raw[a:b], len(seen))
+                if k == len(hashes):
+                    hashes.append(h)
+                numbers.append(k)
+            yield part.column(0), np.array(numbers, np.int32)[which], first
+
+
+def _ordered(words: list[bytes], hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of words by hash and bytes, their hashes in that order): the same however the words were come by."""
+    every = np.array(hashes, np.uint64)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    tied = np.flatnonzero(every[1:] == every[:-1])
+    if len(tied):
+        order = np.array(sorted(order.tolist(), key=lambda k: (hashes[k], words[k])), np.int64)
+    return order, every
 
 
 class _Ragged:
@@ -174,17 +199,15 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
         return [(k, a, b) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if a < b]
 
     def listed(group: pa.Table) -> pa.Table:
-        seen: dict[int, bytes] = {}
-        for _, hashes, data, starts, ends, _ in _pieces(group, pattern):
-            raw = data.tobytes()
-            names, at = np.unique(hashes, return_index=True)
-            for h, a, b in zip(names.tolist(), starts[at].tolist(), ends[at].tolist()):
-                if h not in seen:
-                    seen[h] = raw[a:b]
-        order = np.array(sorted(seen), np.uint64)
-        names, parts = order.tolist(), buckets(order)
+        seen: dict[bytes, int] = {}
+        hashes: list[int] = []
+        for _ in _pieces(group, pattern, seen, hashes):
+            pass
+        words = list(seen)
+        order, every = _ordered(words, hashes)
+        order, parts = order.tolist(), buckets(every)
         home = group.column("block")[0].as_py()
-        lists = [_word_list([seen[h] for h in names[a:b]]) for _, a, b in parts]
+        lists = [_word_list([words[k] for k in order[a:b]]) for _, a, b in parts]
         return pa.table({"bucket": pa.array([k for k, _, _ in parts], pa.int32()), "block": pa.array([home] * len(parts), pa.int32()), "words": pa.array(lists, pa.binary())})
 
     def answered(group: pa.Table) -> pa.Table:
@@ -208,11 +231,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
 
     def reassembled(group: pa.Table, replies: pa.Table) -> pa.Table:
         token = {rank: raw for raw, rank in load_ranks(vocabulary).items()}
-        pieces = [(ids, hashes, first) for ids, hashes, _, _, _, first in _pieces(group, pattern)]
-        names = np.unique(np.concatenate([np.unique(h) for _, h, _ in pieces])) if pieces else np.zeros(0, np.uint64)
+        seen: dict[bytes, int] = {}
+        hashes: list[int] = []
+        pieces = list(_pieces(group, pattern, seen, hashes))
+        order, every = _ordered(list(seen), hashes)
+        place = np.zeros(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        del seen, hashes
         replied = dict(zip(replies.column("bucket").to_pylist(), replies.column("ids").to_pylist()))
         ids: list[list[int]] = []
-        for k, _, _ in buckets(names):
+        for k, _, _ in buckets(every):
             lengths, flat = unpacked_numbers(replied.pop(k))
             flat, ends = flat.tolist(), np.cumsum(lengths, dtype=np.int64).tolist()
             ids += [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
@@ -220,8 +248,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
         raw = _Ragged([b"".join([token[i] for i in x]) for x in ids])
         shown = _Ragged([b"".join([b"%d," % i for i in x]) if digests else np.array(x, np.int32).tobytes() for x in ids])
         out: list[list] = [[], [], [], []]
-        for doc_ids, hashes, first in pieces:
-            at = np.searchsorted(names, hashes)
+        for doc_ids, numbers, first in pieces:
+            at = place[numbers]
             out[0].append(doc_ids)
             out[1].append(np.diff(np.concatenate([[0], np.cumsum(count[at])])[first]))
             coded, decoded = shown.texts(at, first), raw.texts(at, first)

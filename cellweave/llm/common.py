@@ -20,8 +20,8 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where that is unset, as in tests, a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names; where that is unset, a temporary one on a single machine and an error on a cluster."""
     sc = spark.sparkContext
     if named := sc.getConf().get("spark.checkpoint.dir"):
         return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cellweave-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -110,16 +112,56 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position as one number, zeros after the end; one more entry than bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run data[start:end]; runs ascend and don't overlap."""
+    """A 64-bit hash of each run data[start:end].
+
+    The sum, over a run's pieces of eight bytes, of a mix of piece and place that is linear in neither.
+    Equal hashes don't prove equal runs; `distinct` compares the bytes.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    base = np.repeat(starts, lengths)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()), _P, np.uint64))
-    return mix(np.add.reduceat(_BYTE[data[base + within]] * powers[within], first) + lengths.astype(np.uint64))
+    count = np.maximum(1, (lengths + 7) >> 3)
+    first = np.cumsum(count) - count
+    within = np.arange(int(count.sum())) - np.repeat(first, count)
+    begin = np.repeat(starts, count) + 8 * within
+    x = eights(data)[begin] & _LOW[np.minimum(8, np.repeat(ends, count) - begin)]
+    x ^= np.cumprod(np.full(int(count.max()), _P, np.uint64))[within]
+    return mix(np.add.reduceat(mix(x), first) + lengths.astype(np.uint64))
+
+
+def differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + length] and data[b : b + length] differ, for each entry."""
+    out, word = np.zeros(len(a), bool), eights(data)
+    left, k = np.arange(len(a)), 0
+    while len(left):
+        own = _LOW[np.minimum(8, lengths[left] - 8 * k)]
+        out[left] |= (word[a[left] + 8 * k] & own) != (word[b[left] + 8 * k] & own)
+        k += 1
+        left = left[(lengths[left] > 8 * k) & ~out[left]]
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each run among the distinct ones, index of the first run of each number), by bytes, whatever the hashes are."""
+    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    same, lengths = at[which], ends - starts
+    wrong = lengths != lengths[same]
+    check = np.flatnonzero(~wrong & (same != np.arange(len(same))))
+    if not wrong.any() and not differ(data, starts[check], starts[same[check]], lengths[check]).any():
+        return which, at
+    raw, seen, first = data.tobytes(), {}, []
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+        if seen.setdefault(raw[a:b], len(seen)) == len(first):
+            first.append(k)
+        which[k] = seen[raw[a:b]]
+    return which, np.array(first, np.int64)
 
 
 def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
