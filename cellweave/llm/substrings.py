@@ -19,6 +19,11 @@ of ranks exchange packed, sorted lists in three rounds:
 A list holds a rank once for each block, so a passage that a third of all documents share
 costs an entry a block, and no group of copies is gathered anywhere.
 
+What is equal in round 3 is decided on bytes. In round 2 two runs count as equal if both their
+anchors' ranks, of log2(bytes) + 14 bits, and the ranks of their bytes, of 64 bits, agree. Over
+n bytes of text that joins two different runs with a probability under 2**-80 * n: 1e-10 for
+100 TB. The mix is linear in no byte, and no texts are known that collide by construction.
+
 Cases: a null or empty text, or one under 50 bytes, loses nothing; rows without a doc_id
 neither lose bytes nor count as smaller; rows that repeat a doc_id don't remove from each
 other; repeated rows give a row each; an empty table gives an empty result; other columns are
@@ -36,13 +41,14 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import blocks
-from .common import _BYTE, buffers, ranges, text_bytes, unpacked
+from .common import buffers, differ, ranges, text_bytes, unpacked
 
 LENGTH = 50
 HALF = LENGTH // 2
 #: UTF-8 bytes of text for each block and for each bucket, about, and window starts that are worked on at a time.
 BLOCK_BYTES, PIECE = 8 << 20, 1 << 19
 
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _M, _S = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB), np.uint64(29)
 
 
@@ -261,7 +267,9 @@ class _Rounds:
             return group.select(["bucket", "block", "list"])
         lists = [_unsqueeze(x) for x in group.column("list").to_pylist()]
         doc = np.concatenate([np.repeat(x[1], x[0]) for x in lists])
-        names, inverse = np.unique(np.concatenate([h for n, _, raw in lists for h in _window_ranks(n.astype(np.int64), raw)]), return_inverse=True)
+        rank = np.concatenate([h for n, _, raw in lists for h in _window_ranks(n.astype(np.int64), raw)])
+        inverse = _by_bytes(rank, [x[0].astype(np.int64) for x in lists], b"".join(x[2] for x in lists))
+        names = np.arange(inverse.max(initial=-1) + 1)
         least = np.full(len(names), 2**63 - 1)
         np.minimum.at(least, inverse, doc)
         bits = np.split(least[inverse] < doc, np.cumsum([x[0].sum(dtype=np.int64) for x in lists])[:-1])
@@ -281,6 +289,18 @@ def _window_ranks(n: np.ndarray, raw: bytes):
         done = stop
 
 
+def _by_bytes(rank: np.ndarray, n: list[np.ndarray], raw: bytes) -> np.ndarray:
+    """A number for each window, equal where the bytes are; ranks are only a first guess of what is equal."""
+    n, data = np.concatenate(n), np.frombuffer(raw, np.uint8)
+    at = ranges(np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1), n)
+    _, one, inverse = np.unique(rank, return_index=True, return_inverse=True)
+    check = np.flatnonzero(one[inverse] != np.arange(len(inverse)))
+    if differ(data, at[check], at[one[inverse[check]]], np.full(len(check), LENGTH)).any():
+        seen: dict[bytes, int] = {}
+        inverse = np.array([seen.setdefault(raw[a : a + LENGTH], len(seen)) for a in at.tolist()], np.int64)
+    return inverse
+
+
 def _squeeze(x) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x))
 
