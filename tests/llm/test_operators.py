@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from cellweave.llm import bpe, decontaminate, html, minhash, neighbours, quality, queries, secrets, sharding, substrings, toxicity  # noqa: E402
+from cellweave.llm import bpe, common, decontaminate, html, minhash, neighbours, quality, queries, secrets, sharding, substrings, toxicity  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -157,8 +157,9 @@ def chain_texts():
 
 def test_op3(spark, small, monkeypatch):
     for docs, rows in ((small, [(r.doc_id, r.text) for r in small.collect()]), (documents(spark, chain_texts()), list(enumerate(chain_texts())))):
-        for long_list in (64, 3):
+        for long_list, block in ((64, 1024), (1, 4)):
             monkeypatch.setattr(minhash, "LONG_LIST", long_list)
+            monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
             sets = plain_sets(rows)
             truth = plain_components(sets)
             got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.link(docs).collect()}
@@ -176,6 +177,51 @@ def test_op3_cases(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sorted(r.doc_id for r in kept.collect()) == [0, 3]
 
 
+def alternating():
+    """Two long words that differ in every place, and collide under any sum of powers modulo 2**64 (Thue and Morse)."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+def test_words_that_collide_under_powers(spark):
+    a, b = alternating()
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    h = common.run_hashes(data, np.array([0, 1024]), np.array([1024, 2048]))
+    assert h[0] != h[1]
+    rows = {r.doc_id: r for r in minhash.link(documents(spark, [a, b, f"{a} {b} {a}", f"{b} {a} {b}"])).collect()}
+    assert all(r.kept for r in rows.values())
+    texts = [a, b, f"{a} {b}"]
+    got = {r.doc_id: bytes(r.decoded).decode() for r in bpe.encode(documents(spark, texts), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    assert got == dict(enumerate(texts))
+
+
+def test_equal_hashes_prove_nothing(monkeypatch):
+    words = [b"one", b"two", b"one", b"a longer word", b"a longer Word", b"two", b"a longer word"]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    for hashes in (common.run_hashes(data, starts, ends), np.zeros(7, np.uint64), np.arange(7, dtype=np.uint64) % np.uint64(2)):
+        which, first = common.distinct(data, starts, ends, hashes)
+        assert [words[first[k]] for k in which] == words and len(first) == 4
+    monkeypatch.setattr(common, "mix", lambda h: h * np.uint64(0))
+    monkeypatch.setattr(minhash, "mix", lambda h: h * np.uint64(0))
+    x, y = common.buffers(pa.array(["a b c d", "a b c e", "a b"]))
+    code, _, owner = minhash.shingles(x, y)
+    assert owner.tolist() == [0, 0, 1, 1, 2] and len(set(code.tolist())) == 4
+    raw, n = b"x" * 60 + b"y" * 50 + b"x" * 50, [np.array([11]), np.array([1, 1])]
+    got = substrings._by_bytes(np.zeros(13, np.uint64), n, raw).tolist()
+    assert got[:11] == [got[0]] * 11 and got[12] == got[0] != got[11]
+    order = [bpe._ordered(w, [5] * 3)[0].tolist() for w in ([b"p", b"q", b"r"], [b"r", b"p", b"q"])]
+    assert order == [[0, 1, 2], [1, 2, 0]]
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_match_threshold(percent):
+    t, r = minhash.least_matches(percent), np.random.default_rng(0)
+    assert 30 < t < 45 and (r.binomial(minhash.COORDINATES, percent / 100, 400_000) < t).sum() <= 3
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(30)] + [(50, 51), (51, 50), (52, 50)]
     got = {r.node: r.root for r in minhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
