@@ -11,6 +11,9 @@ Candidates that an automaton of credentials accepts (their mean log-likelihood i
 own values) are no sample of ordinary ones, however many there are; those among them that the
 rest explain better are added to it afterwards.
 
+Automata are fitted on at most SAMPLE distinct values of a kind, of at most LONGEST characters
+each; every candidate is scored whole, however long it is.
+
 Positions count code points; a null text counts as empty and has no spans; repeated rows give
 a row each; an empty table gives an empty result; other columns are ignored. Texts are
 scanned whole.
@@ -39,6 +42,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ANY = r"(?i)(password|passwd|secret|token|api_?key)|[A-Za-z0-9+/_=-]{16}"
 #: Labelled values per kind, and ordinary candidates, that automata are fitted on at most.
 SAMPLE = 1500
+#: Longer values teach nothing, but are scored.
+LONGEST = 2048
 #: Least log-likelihood ratio of a token, for a character of the shortest candidate and its end.
 LEAST_RATIO = 1.0
 SHORTEST = 16
@@ -192,9 +197,9 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Formats:
                     found.update((k, v) for _, k, _, v in base)
                     found.update((3, v) for _, _, v in candidates(text, base))
                 found = sorted(found)
-                yield pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([v[:256] for _, v in found], pa.string())], ["kind", "value"])
+                yield pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array([v for _, v in found], pa.string())], ["kind", "value"])
 
-    values = settle(docs.select("text").mapInArrow(seen, "kind int, value string").distinct())
+    values = settle(docs.select("text").mapInArrow(seen, "kind int, value string").where(F.length("value") <= LONGEST).distinct())
 
     def least(values: DataFrame) -> list[str]:
         return [r.value for r in values.orderBy(F.xxhash64("value"), "value").limit(most).select("value").collect()]
