@@ -7,8 +7,8 @@ Training runs over a bounded sample of labelled rows; scores are sparse dot prod
 whole texts, in NumPy on Arrow batches.
 
 Cases: a null or empty text, or one of white space only, has no features and gets the score
-of the intercept; repeated rows give a row each; labels that are null or rows without a
-document are ignored; without any labelled row every score is 0.5; an empty table gives an
+of the intercept; repeated rows give a row each and, if labelled, train as often; of conflicting
+labels of a doc_id the largest counts; labels that are null or rows without a document are ignored; without any labelled row every score is 0.5; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -96,7 +96,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, alpha
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most `most` labelled documents for which keep holds."""
+    """(doc_id, text, label) of the documents of at most `most` labelled doc_ids for which keep holds."""
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.max(label).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

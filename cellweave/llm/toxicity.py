@@ -7,7 +7,8 @@ of a text and says which term it is, spelled right or with an edit (two in long
 Around each hit a window of characters decides whether the term is quoted or reported or
 used; the counts of both, and of misspelled hits, go into a logistic score.
 
-Cases: a null or empty text scores as one without hits; repeated rows give a row each;
+Cases: a null or empty text scores as one without hits; repeated rows give a row each and, if
+labelled, count once in the lexicon; of conflicting labels of a doc_id the largest counts;
 without labelled rows the lexicon is empty and every score is 0.5 or less; an empty table
 gives an empty result; other columns are ignored. Whole texts are read.
 """
@@ -170,11 +171,8 @@ def learn_lexicon(sample: DataFrame, least_docs: int = 5, least_share: float = 0
                 for text, key, label in zip(part.column(1).to_pylist(), low.tolist(), part.column(2).to_pylist()):
                     table[label, key].add("")  # stands for the text itself
                     for w in set(WORD.findall((text or "").lower())):
-                        if len(w) <= 40:
-                            table[label, key].add(w)
-                            for k in (4, 5, 6):
-                                if len(w) > k:
-                                    table[label, key].add(w[:k] + "*")
+                        table[label, key].add(w)
+                        table[label, key].update(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)
                 rows = [(t, key, label) for (label, key), terms in table.items() for t in terms]
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["term", "key", "label"])
 
