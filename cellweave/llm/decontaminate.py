@@ -13,10 +13,12 @@ word is, by its count over all documents, decides the work and never the result.
 Items are taken in portions of bounded size; each portion's words are small enough to be
 sent to all executors, and the documents are read again for each further portion.
 
-Cases: null and empty texts hit nothing; an item of fewer than SEED_WORDS words hits nothing,
-and no alignment that scores less than SEED_WORDS words in a row is a hit; repeated rows give
-a row each; empty tables give an empty result; other columns are ignored (and preserved by
-`drop_leaks`). Whole texts are read.
+Cases: null and empty texts and items hit nothing; an item of fewer than SEED_WORDS words hits
+the texts that consist of it, and no alignment that scores less than SEED_WORDS words in a row is
+a hit of any other; rows without an item_id are no items; rows without a doc_id are searched like
+all, and `drop_leaks` judges each row by its own text; repeated rows give a row each; empty tables
+give an empty result; other columns are ignored (and preserved by `drop_leaks`). Whole texts are
+read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SIGNS, buffers, ranges, run_hashes, settle, slices, words
+from .common import SIGNS, buffers, ranges, run_hashes, slices, words
 
 SEED_WORDS = 3
 #: Least share of an item's own score.
@@ -139,7 +141,7 @@ def _portions(benchmark: DataFrame):
     portion, n = [], 0
     for r in benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator():
         hashes = coded(pa.array([r.text or ""], pa.string()))[0]
-        if len(hashes) >= SEED_WORDS:
+        if len(hashes):
             if portion and n + len(hashes) > PORTION_WORDS:
                 yield portion
                 portion, n = [], 0
@@ -168,13 +170,18 @@ class Watch:
     """The watched words of the items of a portion, and what an alignment of the least score has of them."""
 
     def __init__(self, sequences: list[np.ndarray], counts: list[np.ndarray], least: float):
+        #: Items of fewer than SEED_WORDS words, by their words; nothing is watched for them.
+        self.short: dict[tuple, list[int]] = {}
+        for k, s in enumerate(sequences):
+            if len(s) < SEED_WORDS:
+                self.short.setdefault(tuple(s.tolist()), []).append(k)
         n = np.array([len(s) for s in sequences])
         self.score = np.maximum(least * MATCH * n, MATCH * SEED_WORDS)
         #: Words that such an alignment matches at least, and words of the text from its first to its last at most.
         matched = np.array([math.ceil(s / MATCH) for s in self.score])
         self.span = (n + MATCH * n - self.score).astype(np.int64)
         self.quorum = np.maximum(1, matched // QUORUM)
-        watched = [np.unique(s[np.argsort(c, kind="stable")[: max(0, len(s) - m + q)]]) for s, c, m, q in zip(sequences, counts, matched.tolist(), self.quorum.tolist())]
+        watched = [np.unique(s[np.argsort(c, kind="stable")[: max(0, len(s) - m + q) if len(s) >= SEED_WORDS else 0]]) for s, c, m, q in zip(sequences, counts, matched.tolist(), self.quorum.tolist())]
         hashes, items = np.concatenate(watched), np.repeat(np.arange(len(n)), [len(w) for w in watched])
         order = np.argsort(hashes, kind="stable")
         self.seeds, self.items = Seeds(np.concatenate(sequences)), items[order].astype(np.uint16 if len(n) <= 1 << 16 else np.int64)
@@ -204,15 +211,21 @@ class Watch:
             cut = end
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """doc_id, item_id, score for every document and item that align with `least` or more of the item's own score."""
-    sc, found = docs.sparkSession.sparkContext, None
+def _watches(docs: DataFrame, benchmark: DataFrame, least: float):
+    """Yield a broadcast of (Watch, item_ids) for each portion of the benchmark."""
+    sc = docs.sparkSession.sparkContext
     for portion in _portions(benchmark):
         sequences = [hashes for _, hashes in portion]
         every = sc.broadcast(Seeds(np.concatenate(sequences)))  # at most PORTION_WORDS numbers
         often, index = _counts(docs, every), every.value
         counts = [np.array([often.get(k, 0) for k in np.searchsorted(index.hashes, s).tolist()]) for s in sequences]
-        shared = sc.broadcast((Watch(sequences, counts, least), [item for item, _ in portion]))
+        yield sc.broadcast((Watch(sequences, counts, least), [item for item, _ in portion]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """doc_id, item_id, score for every document and item that align with `least` or more of the item's own score."""
+    found = None
+    for shared in _watches(docs, benchmark, least):
         part = docs.select("doc_id", "text").mapInArrow(_aligned(shared), "doc_id long, item_id long, score double")
         found = part if found is None else found.union(part)
     if found is None:
@@ -220,41 +233,62 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
     return found
 
 
+def _hits(column, watch: Watch) -> list[tuple[int, int, float]]:
+    """(row, item's index, score) of all that a portion's items hit in a column of texts."""
+    hashes, first = coded(column)
+    word, k = watch.seeds.find(hashes)
+    code = np.full(len(hashes), len(watch.seeds.hashes), np.int32)
+    code[word] = k
+    out = []
+    for t in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < SEED_WORDS)).tolist() if watch.short else ():
+        out += [(t, item, 1.0) for item in watch.short.get(tuple(hashes[first[t] : first[t + 1]].tolist()), ())]
+    for found in watch.places(word, k, first):
+        spans: dict[int, list[list[int]]] = {}
+        now, own = None, []
+        for text, item, at in zip(*found):
+            span = int(watch.span[item])
+            if now == (text, item) and at - span <= own[2]:
+                own[2] = at + span
+                continue
+            now, own = (text, item), [text, at - span, at + span]
+            spans.setdefault(item, []).append(own)
+        for item, own in spans.items():
+            text, begins, ends = np.array(own).T
+            best = scores(code, watch.codes[item], np.maximum(first[text], begins), np.minimum(first[text + 1], ends), watch.score[item])
+            top: dict[int, int] = {}
+            for x in np.flatnonzero(best).tolist():
+                top[int(text[x])] = max(top.get(int(text[x]), 0), int(best[x]))
+            out += [(x, item, score / (MATCH * len(watch.codes[item]))) for x, score in top.items()]
+    return sorted(out)
+
+
 def _aligned(shared):
     def aligned(batches):
         watch, ids = shared.value
         for batch in batches:
             for part in slices(batch):
-                hashes, first = coded(part.column(1))
-                word, k = watch.seeds.find(hashes)
-                code = np.full(len(hashes), len(watch.seeds.hashes), np.int32)
-                code[word] = k
-                out = []
-                for found in watch.places(word, k, first):
-                    spans: dict[int, list[list[int]]] = {}
-                    now, own = None, []
-                    for text, item, at in zip(*found):
-                        span = int(watch.span[item])
-                        if now == (text, item) and at - span <= own[2]:
-                            own[2] = at + span
-                            continue
-                        now, own = (text, item), [text, at - span, at + span]
-                        spans.setdefault(item, []).append(own)
-                    for item, own in spans.items():
-                        text, begins, ends = np.array(own).T
-                        best = scores(code, watch.codes[item], np.maximum(first[text], begins), np.minimum(first[text + 1], ends), watch.score[item])
-                        top: dict[int, int] = {}
-                        for x in np.flatnonzero(best).tolist():
-                            top[int(text[x])] = max(top.get(int(text[x]), 0), int(best[x]))
-                        out += [(x, ids[item], score / (MATCH * len(watch.codes[item]))) for x, score in top.items()]
-                out.sort()
+                out = _hits(part.column(1), watch)
                 docs = part.column(0).take(pa.array([x[0] for x in out], pa.int64()))
-                yield pa.record_batch([docs, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["doc_id", "item_id", "score"])
+                yield pa.record_batch([docs, pa.array([ids[x[1]] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["doc_id", "item_id", "score"])
 
     return aligned
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs that align with no item, with all their columns."""
-    gone = settle(leaks(docs, benchmark, least).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose texts align with no item, with all their columns."""
+    at, schema, left = docs.columns.index("text"), docs.schema, docs
+
+    def kept(shared):
+        def clean(batches):
+            watch, _ = shared.value
+            for batch in batches:
+                for part in slices(batch, at):
+                    ok = np.ones(part.num_rows, bool)
+                    ok[[x[0] for x in _hits(part.column(at), watch)]] = False
+                    yield part.filter(pa.array(ok))
+
+        return clean
+
+    for shared in _watches(docs, benchmark, least):
+        left = left.mapInArrow(kept(shared), schema)
+    return left
