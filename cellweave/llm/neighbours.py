@@ -7,11 +7,16 @@ bounded set of queries has against all vectors reaches the target. Leaves meet t
 in groups of bounded size: a leaf with many rows, such as one of equal vectors, is dealt to
 several groups, and its queries go to each of them.
 
+A query goes on down its queue until the leaves it visits hold more than k rows. The tree has at
+most SAMPLE_ROWS / 16 leaves; on more than LEAF_ROWS rows for each of them leaves grow with the
+table, and a visit reads a fixed share of it.
+
 Cosine is computed in double precision on the original vectors. Ties go to the smaller id.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and such as have
 another length than most, take no part; so do rows without an id. Rows that repeat an id are
-candidates each, but never of a query with that id. With fewer candidates than k all are
+candidates each, but never of a query with that id; as queries, each of their different vectors
+is answered with ranks of its own. With fewer candidates than k all are
 returned; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,6 +29,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import settle
+
 #: Vectors that the tree is fitted on, and queries that calibrate it, at most.
 SAMPLE_ROWS, CALIBRATION_QUERIES = 20_000, 200
 BRANCHES, LEAF_ROWS, MOST_LEAVES = 8, 500, 2048
@@ -112,13 +119,14 @@ class Tree:
                 stack += [(child, rows[way == c]) for c, child in enumerate(self.children[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves for a unit vector, best bin first."""
-        out, heap = [], [(0.0, 0)]
-        while heap and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, rows: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves for a unit vector, best bin first, and more until they hold `least` rows."""
+        out, heap, held = [], [(0.0, 0)], 0
+        while heap and (len(out) < most or held < least):
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                held += rows.get(self.leaf[node], 0) if rows else 0
             else:
                 for far, child in zip(-(self.centres[node] @ q), self.children[node]):
                     heapq.heappush(heap, (float(far), child))
@@ -126,7 +134,7 @@ class Tree:
 
 
 def nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query's id, row's id, cosine) of the k best rows of x for each query, itself excepted."""
+    """(query's index, row's id, cosine) of the k best rows of x for each query, rows of its own id excepted."""
     out = []
     if not len(x) or not len(q):
         return out
@@ -137,7 +145,7 @@ def nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
         near = np.flatnonzero((row >= least - 1e-9) & np.isfinite(row))
         exact = cosines(q[i], x[near])
         for j in np.lexsort((ids[near], -exact))[:k]:
-            out.append((int(own[i]), int(ids[near[j]]), float(exact[j])))
+            out.append((i, int(ids[near[j]]), float(exact[j])))
     return out
 
 
@@ -169,36 +177,40 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, target: float = TARGET
             x, ids = _vectors(batch)
             yield pa.record_batch([pa.array(ids), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(shared.value.assign(unit(x)), pa.int32())], ["vec_id", "embedding", "leaf"])
 
-    placed = rows.mapInArrow(dealt, "vec_id long, embedding array<double>, leaf int")
-    parts = {r.leaf: -(-r.n // GROUP_ROWS) for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a number for each leaf
-    spread = spark.sparkContext.broadcast(parts)
-    salts = F.element_at(F.create_map(*[F.lit(v) for kv in parts.items() for v in kv]), F.col("leaf")) if parts else F.lit(1)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), salts).cast("int"))
+    placed = settle(rows.mapInArrow(dealt, "vec_id long, embedding array<double>, leaf int"))
+    sizes = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
+    held = {r.leaf: r.n for r in sizes.collect()}  # a number for each leaf
+    spread = spark.sparkContext.broadcast(held)
+    placed = placed.join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("parts")).cast("int"))  # a row for each leaf
+    own = rows.where(is_query).groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1  # rows that share a query's id
 
     def sent(batches):
         for batch in batches:
             x, ids = _vectors(batch)
             out = ([], [], [], [])
             for v, i, u in zip(x.tolist(), ids.tolist(), unit(x)):
-                for leaf in shared.value.visits(u, visits):
-                    for part in range(spread.value.get(leaf, 0)):
+                for leaf in shared.value.visits(u, visits, spread.value, k + own):
+                    for part in range(-(-spread.value.get(leaf, 0) // GROUP_ROWS)):
                         for column, value in zip(out, (i, v, leaf, part)):
                             column.append(value)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["vec_id", "embedding", "leaf", "part"])
 
-    queries = rows.where(is_query).dropDuplicates(["vec_id"]).mapInArrow(sent, "vec_id long, embedding array<double>, leaf int, part int")
+    asked = rows.where(is_query).distinct().mapInArrow(sent, "vec_id long, embedding array<double>, leaf int, part int")
+    queries = asked.withColumn("vector", F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256))
 
     def met(own: pa.Table, asked: pa.Table) -> pa.Table:
         found = []
         if own.num_rows and asked.num_rows:
             x, ids = matrix(own.column("embedding"))[0], np.array(own.column("vec_id"))
-            q, names = matrix(asked.column("embedding"))[0], np.array(asked.column("vec_id"))
+            q, names, vectors = matrix(asked.column("embedding"))[0], np.array(asked.column("vec_id")), asked.column("vector").to_pylist()
             for a in range(0, len(q), 500):
-                found += nearest(q[a : a + 500], names[a : a + 500], x, ids, k)
-        return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
+                found += [(int(names[a + i]), vectors[a + i], j, s) for i, j, s in nearest(q[a : a + 500], names[a : a + 500], x, ids, k)]
+        types = {"query_id": pa.int64(), "vector": pa.string(), "vec_id": pa.int64(), "score": pa.float64()}
+        return pa.table({c: pa.array([f[n] for f in found], t) for n, (c, t) in enumerate(types.items())})
 
-    found = placed.groupBy("leaf", "part").cogroup(queries.groupBy("leaf", "part")).applyInArrow(met, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met_in = queries.select("vec_id", "embedding", "vector", "leaf", "part").groupBy("leaf", "part")
+    found = placed.select("vec_id", "embedding", "leaf", "part").groupBy("leaf", "part").cogroup(met_in).applyInArrow(met, "query_id long, vector string, vec_id long, score double")
+    order = W.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -217,10 +229,10 @@ def _calibrate(rows: DataFrame, is_query: Column, tree: Tree, shared, k: int, ta
             leaf = shared.value.assign(unit(x))
             found = nearest(*known.value, x, ids, k)
             where = {int(i): int(f) for i, f in zip(ids, leaf)}
-            yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([where[f[1]] for f in found], pa.int32())], ["query_id", "vec_id", "score", "leaf"])
+            yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([where[f[1]] for f in found], pa.int32())], ["query", "vec_id", "score", "leaf"])
 
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    truth = rows.mapInArrow(best, "query_id long, vec_id long, score double, leaf int").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).collect()
-    rank = {int(n): {leaf: j for j, leaf in enumerate(tree.visits(u, tree.leaves))} for n, u in zip(names, unit(q))}
-    need = sorted(rank[t.query_id][t.leaf] + 1 for t in truth)
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    truth = rows.mapInArrow(best, "query long, vec_id long, score double, leaf int").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).collect()
+    rank = [{leaf: j for j, leaf in enumerate(tree.visits(u, tree.leaves))} for u in unit(q)]
+    need = sorted(rank[t["query"]][t.leaf] + 1 for t in truth)
     return need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)] if need else 1
