@@ -97,7 +97,7 @@ def test_op2(spark, small):
 
 def test_op2_splits_a_hot_group(spark):
     texts = ["same text"] * 400 + [f"text {k}" for k in range(200)]
-    got = sharding.shard(documents(spark, texts), ranges=16).collect()
+    got = sharding.shard(documents(spark, texts), ranges=16, range_rows=20).collect()
     assert {r.doc_id: (r["size"], r.text_crc32, r["shard"], r.slot) for r in got} == plain_shards(list(enumerate(texts)))
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
 
@@ -109,6 +109,17 @@ def test_op2_cases(spark):
     assert sharding.shard(documents(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_op2_splits_a_hot_pair(spark):
+    docs = spark.createDataFrame([(5, "same text")] * 600 + [(None, "other")] * 200, "doc_id long, text string")
+    got = sharding.shard(docs, ranges=8, range_rows=50).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    assert len(got) == 800 and all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
+    sums = [sum(r["size"] for r in by[k]) for k in range(8)]
+    assert max(sums) - min(sums) <= 20
+
+
 # 3 -----------------------------------------------------------------------------------------
 
 
@@ -260,6 +271,23 @@ def test_op4_cases(spark, monkeypatch):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in neighbours.search(few, F.col("vec_id") == 0).collect()] == [(7, 0.0)]
     assert neighbours.search(few.limit(0), F.lit(True)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (7, [0.0, 1.0]), (8, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted((r["rank"], r.vec_id, r.score) for r in neighbours.search(twice, F.col("vec_id") == 0).collect()) == [(1, 7, 1.0), (1, 8, 1.0), (2, 7, 0.0), (2, 8, 0.0)]
+
+
+def test_op4_small_leaves(spark):
+    r = np.random.default_rng(1)
+    far = [(k, (np.eye(16)[k] * 5 + r.normal(0, 0.01, 16)).tolist()) for k in range(16)]  # alone in their leaves
+    rows = far + [(100 + k, (np.ones(16) + r.normal(0, 0.2, 16)).tolist()) for k in range(2000)]
+    got = collections.Counter(x.query_id for x in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 16, target=0.1).collect())
+    assert got == {k: 5 for k in range(16)}
+
+
+def test_op4_scores(spark):
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
+    for x in queries.op4_neighbours(spark, SMALL).collect():
+        a, b = rows[x.query_id], rows[x.vec_id]
+        assert abs(x.score - a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)) < 1e-12
 
 
 # 5 -----------------------------------------------------------------------------------------
@@ -359,6 +387,12 @@ def test_lexicon_counts_copies_once(spark):
     assert lexicon.find("vexling") is not None
 
 
+def test_lexicon_learns_long_words(spark):
+    word = "gro" + "b" * 60 + "nik"
+    rows = [(k, f"{word} w{k} a b", 1) for k in range(50)] + [(100 + k, f"kind words w{k} here", 0) for k in range(50)]
+    assert toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, label int")).find(word) is not None
+
+
 def test_quotation():
     lexicon = toxicity.Lexicon({"idiot": 3.0})
     assert toxicity.evidence("you idiot, go", lexicon)[0] > 0 == toxicity.evidence('they wrote "idiot" there', lexicon)[0]
@@ -394,6 +428,39 @@ def test_op8_templates(spark, monkeypatch):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_op8_reads_tags_as_the_standard_does():
+    assert html.text_of("<article><p title=don't>Hello world it's fine</p><p>more text</p></article>") == "Hello world it's fine more text"
+    assert html.text_of('<article><p data=x">a</p><p =x y>b</p><a href=/x/>c</a><p a = "1>2" b=\'>\'/>d<!-->e<!-- -- > -->f</?x>g</>h</article>') == "a b c defgh"
+    kept = "".join(f'<p class="{c}">{c}</p>' for c in ("social-science", "related-work", "widgets")) + '<p id="notice-of-motion">motion</p>'
+    gone = "".join(f'<div class="x {c}">{c}</div>' for c in ("ad", "ad-slot-2", "site-footer", "main_nav", "related-posts", "cookie-banner"))
+    assert html.text_of(f"<article>{gone}{kept}</article>") == "social-science related-work widgets motion"
+
+
+def test_op8_long_and_deep_pages():
+    import time
+
+    start = time.time()
+    assert html.text_of("<div>" * 50_000 + "x" + "</p>" * 50_000) == "x" and html.text_of("<b>" * 50_000 + "<li>y" * 3) == "y y y"
+    root = html.parse("<article>" + "<div>" * 50_000 + "x")
+    html.set_keys(root)
+    long = "word " * 400_000
+    assert html.text_of(f"<article><p>{long}</p></article>") == long.strip() and html.text_of("<p a='" + "x" * 1_000_000) == ""
+    assert time.time() - start < 20
+
+
+def test_op8_templates_inside_articles(spark):
+    r = random.Random(7)
+    story = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    box = "<div><span>Share</span> this</div>"
+    texts = [story() for _ in range(40)]
+    pages = [(k, f"http://a.example/{k}", f"<article><p>{t}</p>{box}<p>Common line</p></article>") for k, t in enumerate(texts)]
+    base, note = story(), "<div>Part of the story</div>"
+    copies = [f"{base} {k}" for k in range(40)]  # near copies: what they share is text
+    pages += [(100 + k, f"http://b.example/{k}", f"<article><p>{t}</p>{note}</article>") for k, t in enumerate(copies)]
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{t} Common line" for k, t in enumerate(texts)} | {100 + k: f"{t} Part of the story" for k, t in enumerate(copies)}
+
+
 def test_op8_templates_of_a_host_that_names_most_articles(spark):
     menu = "<div><p>Site bar</p></div>"
     pages = [(k, f"http://a.example/{k}", f"<body>{menu}<section><p>Story {k}</p></section></body>") for k in range(20)]  # a menu of their own
@@ -433,13 +500,17 @@ def test_op9(spark, monkeypatch):
     filler = lambda n: " ".join(word() for _ in range(n))
     texts = [filler(50), filler(30) + " " + " ".join(item) + " " + filler(9), filler(20) + " " + " ".join(edited), " ".join(item).upper().replace(" ", ", "), " ".join(item[:8]), None, ""]
     docs = documents(spark, texts)
-    bench = spark.createDataFrame([(7, " ".join(item)), (8, filler(30)), (9, "a b"), (10, None), (None, filler(9))], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, filler(30)), (9, "a b"), (10, None), (None, filler(9)), (11, "!!")], "item_id long, text string").withColumn("doc_id", F.lit(1))
     for words in (500_000, 35):
         monkeypatch.setattr(decontaminate, "PORTION_WORDS", words)
         found = {(x.doc_id, x.item_id): x.score for x in decontaminate.leaks(docs, bench).collect()}
         assert set(found) == {(1, 7), (2, 7), (3, 7)} and found[1, 7] == found[3, 7] == 1 and 0.7 < found[2, 7] < 0.85
     assert sorted(x.doc_id for x in decontaminate.drop_leaks(docs, bench).collect()) == [0, 4, 5, 6]
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 == decontaminate.leaks(docs.limit(0), bench).count()
+    same = [(None, texts[1], 1, "x"), (None, texts[0], 2, "y"), (3, texts[1], 3, None), (3, texts[0], 4, "z"), (4, "A b.", 5, ""), (5, "a b c", 6, ""), (6, texts[0] * 300 + " " + texts[2], 7, "")]
+    rows = spark.createDataFrame(same, "doc_id long, text string, item_id long, score string")
+    assert sorted(x.item_id for x in decontaminate.drop_leaks(rows, bench).collect()) == [2, 4, 6] and decontaminate.drop_leaks(rows, bench).columns == rows.columns
+    assert sorted((x.item_id, x.doc_id is None) for x in decontaminate.leaks(rows, bench).collect()) == [(7, False), (7, False), (7, True), (9, False)]
     many = documents(spark, [texts[1]] * 30 + [filler(40) for _ in range(30)])  # a passage in half of all documents
     assert decontaminate.leaks(many, bench).count() == 30
 
@@ -533,6 +604,13 @@ def test_op10_finds_bare_keys_however_many(spark, bare):
         assert sum(rows[k].n_grammar for k in range(300, 300 + bare)) >= 0.95 * bare
 
 
+def test_op10_reads_long_values_whole(spark):
+    long = "xyz1" * 1500
+    docs = documents(spark, [f"password={long}", f"see {long}z9 there"])
+    rows = {x.doc_id: x for x in secrets.scan(docs, secrets.fit(docs)).collect()}
+    assert rows[0].spans == f"assign:0:{9 + len(long)}" and rows[1].n_assign == 0
+
+
 def test_automaton_generalises():
     r = random.Random(0)
     own = secrets.Automaton(["A" * 4 + "".join(r.choice("A9") for _ in range(12)) for _ in range(300)])

@@ -55,3 +55,19 @@ def test_stages_keep_columns(spark):
         if name != "bpe":
             assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Repeated rows, null ids, a very long text, and columns whose names clash with those that stages work with."""
+    long = " ".join(f"word{k % 977} of{k}" for k in range(60_000))
+    rows = [(1, long, "x", 1), (1, long, "x", 1), (2, long + " end", "y", 2), (None, long, None, 3), (None, None, "z", 4), (3, "", "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, item_id int").withColumns({c: F.lit(7) for c in ("label", "component_id", "block", "a", "token", "n_tokens")})
+    kept = {"near_duplicates": [1, 1, 3, 4, 5], "decontamination": [1, 1, 2, 3, 4, 5], "secrets": [1, 1, 2, 3, 4, 5]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        if name in kept:
+            assert sorted(r.item_id for r in out.collect()) == kept[name] and out.columns == docs.columns
+        elif name == "bpe":
+            assert sorted(r.n_tokens > 0 for r in out.collect()) == [False] * 2 + [True] * 4
+        else:
+            assert out.columns == docs.columns and out.count() <= 6
