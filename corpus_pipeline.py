@@ -10,6 +10,12 @@ and read again as the next one's docs. All but the last return the columns of do
 3. decontamination: documents that hold a passage of the benchmark, as it is or edited, go.
 4. secrets: spans of secrets are replaced by a mark, n_chars counts anew; no document goes.
 5. bpe: every text is encoded; doc_id, n_tokens and digests of ids and bytes.
+
+Cases, in all stages: a null or empty text is scored like one without features, has no near copy,
+no leak and no secret, and encodes to nothing; a null doc_id is kept by near_duplicates and judged
+by its text elsewhere; repeated rows stay together or go together in quality and decontamination,
+and near_duplicates keeps all rows of the doc_id that it keeps; very long texts are read whole; an
+empty table stays empty; columns beside doc_id and text pass through whatever their names.
 """
 
 from __future__ import annotations
