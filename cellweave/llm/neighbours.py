@@ -22,6 +22,7 @@ returned; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
@@ -187,16 +188,17 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, target: float = TARGET
     def sent(batches):
         for batch in batches:
             x, ids = _vectors(batch)
-            out = ([], [], [], [])
-            for v, i, u in zip(x.tolist(), ids.tolist(), unit(x)):
+            out = ([], [], [], [], [])
+            for v, i, u, raw in zip(x.tolist(), ids.tolist(), unit(x), x):
+                name = hashlib.sha256(raw.tobytes()).hexdigest()
                 for leaf in shared.value.visits(u, visits, spread.value, k + own):
                     for part in range(-(-spread.value.get(leaf, 0) // GROUP_ROWS)):
-                        for column, value in zip(out, (i, v, leaf, part)):
+                        for column, value in zip(out, (i, v, leaf, part, name)):
                             column.append(value)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["vec_id", "embedding", "leaf", "part"])
+            types = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.string())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], ["vec_id", "embedding", "leaf", "part", "vector"])
 
-    asked = rows.where(is_query).distinct().mapInArrow(sent, "vec_id long, embedding array<double>, leaf int, part int")
-    queries = asked.withColumn("vector", F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256))
+    queries = rows.where(is_query).distinct().mapInArrow(sent, "vec_id long, embedding array<double>, leaf int, part int, vector string")
 
     def met(own: pa.Table, asked: pa.Table) -> pa.Table:
         found = []
