@@ -8,8 +8,3 @@ class InputError(ValueError):
 class ResourceLimitError(RuntimeError):
     """A result would exceed a stated limit; nothing was pruned."""
 
-
-def at_most(df, limit: int | None, what: str) -> None:
-    """Raise if df has more than `limit` rows. Reads no more than limit + 1 of them."""
-    if limit is not None and df.limit(limit + 1).count() > limit:
-        raise ResourceLimitError(f"more than {limit} {what}")

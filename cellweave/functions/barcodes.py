@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InputError
+from ..storage import short_list
 
 INF = float("inf")
 
 
-def betti_at(intervals: DataFrame, scales: DataFrame) -> DataFrame:
-    """(topology_id, dim, scale, betti): bars with birth <= scale < death at each of scales(scale), zero included."""
-    frame = intervals.select("topology_id", "dim").distinct().crossJoin(F.broadcast(scales))  # a short list of scales for each group
-    live = intervals.join(F.broadcast(scales), (F.col("birth") <= F.col("scale")) & (F.col("scale") < F.col("death"))).groupBy("topology_id", "dim", "scale").agg(F.count("*").alias("n"))
-    return frame.join(live, ["topology_id", "dim", "scale"], "left").select("topology_id", "dim", "scale", F.coalesce("n", F.lit(0)).alias("betti"))
+def betti_at(intervals: DataFrame, scales: list[float] | DataFrame) -> DataFrame:
+    """(topology_id, dim, scale, betti): bars with birth <= scale < death at each of a short list of scales, zero included; one aggregate."""
+    every = short_list(scales)
+    live = [F.count_if((F.col("birth") <= s) & (F.col("death") > s)) for s in every]
+    counts = intervals.groupBy("topology_id", "dim").agg(F.array(*[F.struct(F.lit(s).alias("scale"), n.alias("betti")) for s, n in zip(every, live)]).alias("b"))
+    return counts.select("topology_id", "dim", F.explode("b").alias("b")).select("topology_id", "dim", "b.scale", "b.betti")
 
 
 def persistent_betti(intervals: DataFrame, s: float, t: float) -> DataFrame:
@@ -69,12 +71,17 @@ def bin_counts(intervals: DataFrame, edges: list[float], dims: list[int], mode:
     """(topology_id, dim, bin, n): bars that overlap or cover each bin, or die in it; bars of no length count nowhere."""
     edges = check_edges(edges)
     last = len(edges) - 2
-    bins = intervals.sparkSession.createDataFrame([(k, edges[k], edges[k + 1]) for k in range(last + 1)], "bin int, l double, r double")
-    birth, death, low, high = F.col("birth"), F.col("death"), F.col("l"), F.col("r")
-    on = {"overlap": (birth < high) & (death > low), "cover": (birth <= low) & (death >= high), "death": (death < F.lit(INF)) & (death >= low) & ((death < high) | ((F.col("bin") == last) & (death == high)))}[mode]
-    some = intervals.where(F.col("dim").isin(dims) & (death > birth)).join(F.broadcast(bins), on).groupBy("topology_id", "dim", "bin").agg(F.count("*").alias("n"))
-    frame = intervals.select("topology_id").distinct().select("topology_id", F.explode(F.array(*[F.lit(d) for d in dims])).alias("dim")).select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("bin"))
-    return frame.join(some, ["topology_id", "dim", "bin"], "left").select("topology_id", "dim", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    birth, death = F.col("birth"), F.col("death")
+
+    def hit(k: int) -> Column:
+        low, high = edges[k], edges[k + 1]
+        dies = (death < F.lit(INF)) & (death >= low) & ((death <= high) if k == last else (death < high))
+        return {"overlap": (birth < high) & (death > low), "cover": (birth <= low) & (death >= high), "death": dies}[mode]
+
+    # One pass: a count for each degree and bin, of which there are few.
+    counts = [F.count_if((F.col("dim") == d) & (death > birth) & hit(k)).alias(f"n{d}_{k}") for d in dims for k in range(last + 1)]
+    rows = F.array(*[F.struct(F.lit(d).alias("dim"), F.lit(k).alias("bin"), F.col(f"n{d}_{k}").alias("n")) for d in dims for k in range(last + 1)])
+    return intervals.groupBy("topology_id").agg(*counts).select("topology_id", F.explode(rows).alias("x")).select("topology_id", "x.dim", "x.bin", "x.n")
 
 
 class BarcodeVectorizer:

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session names none, as in tests, a temporary one."""
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir"):
-        return named
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cellweave-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
+from pyspark.sql import DataFrame, functions as F
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+from ..storage import settle as _cut
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(cloud_id, v, root) for vertices(cloud_id, v) and edges(cloud_id, src, dst): root is the smallest vertex in reach.
 
     For graphs of any size: alternating large and small stars, in rounds of joins that halve
-    depths, with a checkpoint a round. For many small graphs `components_by_cloud` is quicker.
+    depths, with a checkpoint a round.
     """
     e = _cut(edges.where("src <> dst").select("cloud_id", F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     state = None

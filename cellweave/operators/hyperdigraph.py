@@ -4,27 +4,53 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..errors import InputError, at_most
+from ..errors import InputError
+from ..storage import at_most
 
 MAX_HYPEREDGES = 500_000
 
 
-def orient(edges: DataFrame, weights: DataFrame) -> DataFrame:
-    """Each pair of edges(cloud_id, src, dst, birth) from its lower to its higher weight; equal weights keep both ways."""
-    w = weights.select("cloud_id", F.col("point_id").alias("src"), F.col("weight").alias("w1"))
-    both = edges.join(w, ["cloud_id", "src"]).join(w.select("cloud_id", F.col("src").alias("dst"), F.col("w1").alias("w2")), ["cloud_id", "dst"])
+def orient(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Each pair of edges(cloud_id, src, dst, birth) from its lower to its higher weight; equal weights keep both ways.
+
+    Without weights(cloud_id, point_id, weight), edges are those of `points.pairs(weights=True)`: distinct pairs with w1 and w2.
+    """
+    both = edges
+    if weights is not None:
+        w = weights.select("cloud_id", F.col("point_id").alias("src"), F.col("weight").alias("w1"))
+        both = edges.join(w, ["cloud_id", "src"]).join(w.select("cloud_id", F.col("src").alias("dst"), F.col("w1").alias("w2")), ["cloud_id", "dst"])
     turn = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
     keep = F.struct("src", "dst")
     ways = F.when(F.col("w1") < F.col("w2"), F.array(keep)).when(F.col("w1") > F.col("w2"), F.array(turn)).otherwise(F.array(keep, turn))
-    return both.select("cloud_id", "birth", F.explode(ways).alias("e")).select("cloud_id", "e.src", "e.dst", "birth").groupBy("cloud_id", "src", "dst").agg(F.min("birth").alias("birth"))
+    out = both.select("cloud_id", "birth", F.explode(ways).alias("e")).select("cloud_id", "e.src", "e.dst", "birth")
+    return out if weights is None else out.groupBy("cloud_id", "src", "dst").agg(F.min("birth").alias("birth"))
+
+
+def score_directed(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges of a support (complete or Delaunay), each from its lower to its higher score (the weight), in order of birth within a cloud; scores must differ.
+
+    ordinal numbers a cloud's edges by birth, then ends.
+    """
+    tied = F.count("*").over(W.partitionBy("cloud_id", "weight")) > 1
+    scored = points.select("cloud_id", "point_id", F.when(tied, F.raise_error(F.lit("two scores are equal")).cast("double")).otherwise(F.col("weight")).alias("weight"))
+    order = W.partitionBy("cloud_id").orderBy("birth", "src", "dst")
+    return orient(edges, scored).withColumn("ordinal", F.row_number().over(order) - 1)
+
+
+def distance_matrix(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cloud_id, row, distances array<double>): the directed matrix of edges, infinite where there is none and 0 on the diagonal; a row of the table for each point."""
+    at = points.select("cloud_id", "point_id", "row")
+    size = points.groupBy("cloud_id").agg(F.count("*").cast("int").alias("n"))
+    to = edges.join(at.select("cloud_id", F.col("point_id").alias("dst"), F.col("row").alias("column")), ["cloud_id", "dst"])
+    known = to.groupBy("cloud_id", F.col("src").alias("point_id")).agg(F.map_from_entries(F.collect_list(F.struct("column", "birth"))).alias("d"))
+    entry = lambda j: F.when(j == F.col("row"), 0.0).otherwise(F.coalesce(F.try_element_at("d", j), F.lit(float("inf"))))
+    return at.join(size, "cloud_id").join(known, ["cloud_id", "point_id"], "left").select("cloud_id", "row", F.transform(F.sequence(F.lit(0), F.col("n") - 1), entry).alias("distances"))
 
 
 def consecutive(points: DataFrame) -> DataFrame:
     """Support pairs of clouds on a line: neighbours in order of the first coordinate."""
-    from pyspark.sql import Window as W
-
     from .points import distance
 
     w = W.partitionBy("cloud_id").orderBy("coords")
@@ -45,7 +71,7 @@ def path_complex(vertices: DataFrame, edges: DataFrame, max_dim: int, end: float
         if d > 1:
             level = level.withColumn("s", F.element_at("cell", -1)).join(step, ["cloud_id", "s"]).where(~F.array_contains("cell", F.col("t")))
             level = level.select("cloud_id", F.concat("cell", F.array("t")).alias("cell"), F.greatest("birth", "b").alias("birth"))
-            at_most(level, max_hyperedges, f"hyperedges of dimension {d}")
+            level = at_most(level, max_hyperedges, f"hyperedges of dimension {d}")
         out.append(level.select(F.col("cloud_id").alias("topology_id"), F.lit(d).alias("dim"), "cell", "birth"))
     return reduce(DataFrame.unionByName, out)
 

@@ -17,12 +17,13 @@ def interaction_complex(a: DataFrame, b: DataFrame, max_degree: int) -> DataFram
     """icells(topology_id, degree, cell_a, cell_b, birth): cells with a common vertex, degrees up to max_degree.
 
     An equality join on the vertices of both inverted indexes; pairs that share several
-    vertices meet more than once and are made distinct.
+    vertices meet at each of them, and the meeting at the first one counts.
     """
     left = postings(a, max_degree).select("topology_id", "v", F.col("cell").alias("cell_a"), F.col("dim").alias("dim_a"), F.col("birth").alias("birth_a"))
     right = postings(b, max_degree).select("topology_id", "v", F.col("cell").alias("cell_b"), F.col("dim").alias("dim_b"), F.col("birth").alias("birth_b"))
     met = left.join(right, ["topology_id", "v"]).where(F.col("dim_a") + F.col("dim_b") <= max_degree)
-    return met.groupBy("topology_id", (F.col("dim_a") + F.col("dim_b")).alias("degree"), "cell_a", "cell_b").agg(F.max(F.greatest("birth_a", "birth_b")).alias("birth"))
+    once = met.where(F.element_at(F.array_intersect("cell_a", "cell_b"), 1) == F.col("v"))
+    return once.select("topology_id", (F.col("dim_a") + F.col("dim_b")).alias("degree"), "cell_a", "cell_b", F.greatest("birth_a", "birth_b").alias("birth"))
 
 
 def witness_bound(a: DataFrame, b: DataFrame, max_degree: int) -> DataFrame:
@@ -57,6 +58,14 @@ def degree_zero_spectrum(icells: DataFrame, scale: float) -> DataFrame:
     return zero.join(one, ["topology_id", "v"], "left").select("topology_id", "v", F.coalesce("n", F.lit(0)).cast("double").alias("eigenvalue"))
 
 
+def check_overlap(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(topology_id, cell_a, cell_b), after a check that every paired cell is one of its factor; cells are not restricted."""
+    for df, c in ((a, "cell_a"), (b, "cell_b")):
+        if pairs.join(df.select("topology_id", F.col("cell").alias(c)), ["topology_id", c], "left_anti").limit(1).count():
+            raise InputError("a paired cell is unknown")
+    return pairs
+
+
 def overlap(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cloud_id, factor, point_id, vertex): common vertex numbers of two clouds that pairs(cloud_id, a_id, b_id) identify one to one."""
     for c in ("a_id", "b_id"):

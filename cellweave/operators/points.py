@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..errors import InputError
 
 NUMBERS = "array<double>"
+#: Coordinates that a grid is laid over at most.
+GRID_DIMS = 3
 
 
 def points(df: DataFrame, cloud: Column, point: Column, coords: Column, weight: Column | None = None) -> DataFrame:
@@ -44,36 +46,53 @@ def distance(a: str = "a", b: str = "b") -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def pairs(points: DataFrame, cutoff: float | None = None, dims: int = 2) -> DataFrame:
+def cell_of(coords: str, width: float, dims: int = GRID_DIMS) -> Column:
+    """The cell of a grid over the first `dims` coordinates, or as many as there are."""
+    return F.transform(F.slice(coords, 1, dims), lambda x: F.floor(x / width))
+
+
+def around(cell: Column) -> Column:
+    """A cell and its neighbours: 3 cells on a line, 9 in the plane, 27 in space."""
+    step = lambda found, x: F.flatten(F.transform(found, lambda c: F.array(*[F.concat(c, F.array(x + o)) for o in (-1, 0, 1)])))
+    return F.aggregate(cell, F.array(F.array().cast("array<bigint>")), step)
+
+
+def pairs(points: DataFrame, cutoff: float | None = None, dims: int = GRID_DIMS, weights: bool = False) -> DataFrame:
     """edges(cloud_id, src, dst, birth): pairs of a cloud, src in the earlier row, with their distance.
 
     With a cutoff, points meet only in neighbouring cells of a grid of that width over the
     first `dims` coordinates (an equality join, however large the cloud); pairs at the
     cutoff's distance are included. Without one, all pairs of a cloud are asked for.
+    weights: the ends' weights as w1 and w2.
     """
-    p = points.select("cloud_id", "point_id", "row", "coords")
+    p = points.select("cloud_id", "point_id", "row", "coords", *(["weight"] if weights else []))
     if cutoff is None:
-        left, right = p, p
-        on = ["cloud_id"]
+        left, right, on = p, p, ["cloud_id"]
     else:
-        width = cutoff if cutoff > 0 else 1.0
-        cell = [F.floor(F.element_at("coords", k + 1) / width) for k in range(dims)]
-        left = p.select("*", *[c.alias(f"g{k}") for k, c in enumerate(cell)])
-        right = left
-        for k in range(dims):  # a copy in each neighbouring cell
-            right = right.withColumn(f"g{k}", F.explode(F.array(F.col(f"g{k}") - 1, F.col(f"g{k}"), F.col(f"g{k}") + 1)))
-        on = ["cloud_id", *[f"g{k}" for k in range(dims)]]
-    right = right.select(*on, F.col("point_id").alias("dst"), F.col("row").alias("row2"), F.col("coords").alias("b"))
-    out = left.select(*on, F.col("point_id").alias("src"), F.col("row").alias("row1"), F.col("coords").alias("a")).join(right, on).where("row1 < row2")
-    out = out.select("cloud_id", "src", "dst", distance().alias("birth"))
+        left, on = p.withColumn("g", cell_of("coords", cutoff if cutoff > 0 else 1.0, dims)), ["cloud_id", "g"]
+        right = left.withColumn("g", F.explode(around(F.col("g"))))
+    own = lambda df, ends: df.select(*on, *[F.col(c).alias(e) for c, e in zip(("point_id", "row", "coords", "weight"), ends)])
+    extra = ("w1", "w2") if weights else ()
+    out = own(left, ("src", "row1", "a", *extra[:1])).join(own(right, ("dst", "row2", "b", *extra[1:])), on).where("row1 < row2")
+    out = out.select("cloud_id", "src", "dst", distance().alias("birth"), *extra)
     return out if cutoff is None else out.where(F.col("birth") <= cutoff)
 
 
-def nearest(points: DataFrame, others: DataFrame) -> DataFrame:
-    """points with ``nearest``: the distance to the nearest of others in the same cloud."""
-    o = others.select("cloud_id", F.col("coords").alias("b"))
-    near = points.select("cloud_id", "point_id", F.col("coords").alias("a")).join(o, "cloud_id").groupBy("cloud_id", "point_id").agg(F.min(distance()).alias("nearest"))
-    return points.join(near, ["cloud_id", "point_id"], "left")
+def nearest(points: DataFrame, others: DataFrame, cutoff: float | None = None, dims: int = GRID_DIMS) -> DataFrame:
+    """points with ``nearest``: the distance to the nearest of others in the same cloud.
+
+    With a cutoff, distances beyond it are null and only points in neighbouring cells of a grid of
+    that width meet. Without one, all of a cloud's points meet all of its others.
+    """
+    a, b = points.select("cloud_id", "point_id", F.col("coords").alias("a")), others.select("cloud_id", F.col("coords").alias("b"))
+    on = ["cloud_id"]
+    if cutoff is not None:
+        width, on = cutoff if cutoff > 0 else 1.0, ["cloud_id", "g"]
+        a, b = a.withColumn("g", cell_of("a", width, dims)), b.withColumn("g", F.explode(around(cell_of("b", width, dims))))
+    met = a.join(b, on).select("cloud_id", "point_id", distance().alias("d"))
+    if cutoff is not None:
+        met = met.where(F.col("d") <= cutoff)
+    return points.join(met.groupBy("cloud_id", "point_id").agg(F.min("d").alias("nearest")), ["cloud_id", "point_id"], "left")
 
 
 def bonds_from_adjacency(entries: DataFrame, directed: bool = False) -> DataFrame:

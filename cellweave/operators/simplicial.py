@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..errors import InputError, at_most
-from .points import pairs
+from ..storage import at_most, settle, short_list
+from .points import GRID_DIMS, pairs
 
 KEY = ["topology_id", "cell"]
 
@@ -43,10 +43,11 @@ def vertices_of(points: DataFrame) -> DataFrame:
 
 def graph_complex(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Vertices and edges(cloud_id, src, dst, birth); an edge is born with its latest end, a repeated one at its earliest."""
-    if edges.where("src = dst").limit(1).count():
-        raise InputError("an edge joins a vertex to itself")
+    # In a value that is aggregated, so that no filter can bring the error before the plan's own ones.
+    loop = F.raise_error(F.lit("an edge joins a vertex to itself")).cast("double")
+    checked = F.when(F.col("src") == F.col("dst"), loop).otherwise(F.col("birth"))
     births = vertices.select("topology_id", F.element_at("cell", 1).alias("v"), F.col("birth").alias("b"))
-    once = edges.groupBy(F.col("cloud_id").alias("topology_id"), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("birth").alias("birth"))
+    once = edges.groupBy(F.col("cloud_id").alias("topology_id"), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min(checked).alias("birth"))
     born = once.join(births.withColumnRenamed("v", "src").withColumnRenamed("b", "b1"), ["topology_id", "src"]).join(births.withColumnRenamed("v", "dst").withColumnRenamed("b", "b2"), ["topology_id", "dst"])
     return vertices.unionByName(born.select("topology_id", F.lit(1).alias("dim"), F.array("src", "dst").alias("cell"), F.greatest("birth", "b1", "b2").alias("birth")))
 
@@ -65,14 +66,18 @@ def flag_complex(graph: DataFrame, max_dim: int, max_cells: int | None = None) -
             side = adj.select("topology_id", F.col("s").alias(f"v{k}"), "t", F.col("b").alias(f"b{k}"))
             grown = grown.withColumn(f"v{k}", F.element_at("cell", k + 1)).join(side, ["topology_id", f"v{k}", "t"]).withColumn("birth", F.greatest("birth", f"b{k}"))
         level = grown.select("topology_id", F.lit(d).alias("dim"), F.concat("cell", F.array("t")).alias("cell"), "birth")
-        at_most(level, max_cells, f"cells of dimension {d}")
+        level = at_most(level, max_cells, f"cells of dimension {d}")
         out.append(level)
     return reduce(DataFrame.unionByName, out)
 
 
-def rips_complex(points: DataFrame, max_dim: int = 2, cutoff: float | None = None, grid_dims: int = 2, max_cells: int | None = None) -> DataFrame:
-    """The Rips complex of every cloud: cells born at their largest pairwise distance, up to the cutoff."""
-    return flag_complex(graph_complex(vertices_of(points), pairs(points, cutoff, grid_dims)), max_dim, max_cells)
+def rips_complex(points: DataFrame, max_dim: int = 2, cutoff: float | None = None, grid_dims: int = GRID_DIMS, max_cells: int | None = None) -> DataFrame:
+    """The Rips complex of every cloud: cells born at their largest pairwise distance, up to the cutoff.
+
+    Its edges are found once and written, since every dimension reads them.
+    """
+    graph = graph_complex(vertices_of(points), pairs(points, cutoff, grid_dims))
+    return flag_complex(settle(graph) if max_dim > 1 else graph, max_dim, max_cells)
 
 
 def from_distances(distances: DataFrame, max_dim: int = 2) -> DataFrame:
@@ -93,9 +98,10 @@ def snapshot(cells: DataFrame, scale: float) -> DataFrame:
     return cells.where(F.col("birth") <= scale)
 
 
-def snapshots(cells: DataFrame, scales: DataFrame) -> DataFrame:
-    """cells alive at each of scales(scale); scales is a short list, sent to all executors."""
-    return cells.join(F.broadcast(scales), F.col("birth") <= F.col("scale"))
+def snapshots(cells: DataFrame, scales: list[float] | DataFrame) -> DataFrame:
+    """cells alive at each scale; scales is a short list, and no join is needed."""
+    every = F.array(*[F.lit(s) for s in sorted(short_list(scales))])
+    return cells.withColumn("scale", F.explode(F.filter(every, lambda s: s >= F.col("birth"))))
 
 
 def skeleton(cells: DataFrame, max_dim: int) -> DataFrame:

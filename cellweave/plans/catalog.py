@@ -35,10 +35,6 @@ def clouds(spark: SparkSession, sf_dir: str, first: int = 1) -> DataFrame:
     return P.points(e, F.col("label"), F.col("vec_id"), F.slice("embedding", first, 2), (F.col("vec_id") % 3))
 
 
-def _scales(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SCALES], "scale double")
-
-
 def _text(c: str):
     return F.concat_ws("-", F.transform(c, lambda v: v.cast("string")))
 
@@ -89,7 +85,7 @@ def rips_tetrahedra(spark, sf_dir):
 @query(f"WITH {TRIANGLES}, c AS (SELECT label, 0 dim, 0.0::DOUBLE d FROM p UNION ALL SELECT label, 1, d FROM e UNION ALL SELECT label, 2, d FROM t) SELECT label topology_id, s.scale, dim, count(*) n_cells FROM c JOIN (VALUES " + ",".join(f"({s}::DOUBLE)" for s in SCALES) + ") s(scale) ON d<=s.scale GROUP BY 1,2,3")
 def snapshot_counts(spark, sf_dir):
     """Cells alive at each scale, by a range join with the scales."""
-    return X.snapshots(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS), _scales(spark)).groupBy("topology_id", "scale", "dim").agg(F.count("*").alias("n_cells"))
+    return X.snapshots(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS), SCALES).groupBy("topology_id", "scale", "dim").agg(F.count("*").alias("n_cells"))
 
 
 @query(f"WITH {EDGES}, b AS (SELECT label, count(*) n FROM p GROUP BY 1), x AS (SELECT label, count(*) m FROM e WHERE d<=0.1 GROUP BY 1) SELECT b.label topology_id, 0 dim, n n_cells FROM b UNION ALL SELECT label, 1, m FROM x")
@@ -124,8 +120,8 @@ def l0_moments(spark, sf_dir):
   m AS (SELECT x.label, x.i, y.i j, x.g*y.g v FROM d x JOIN d y ON x.label=y.label AND x.k=y.k UNION ALL SELECT x.label, x.i, y.i, x.g*y.g FROM u x JOIN u y ON x.label=y.label AND x.k=y.k),
   l AS (SELECT label, i, j, sum(v) v FROM m GROUP BY 1,2,3) SELECT label topology_id, sum(CASE WHEN i=j THEN v ELSE 0 END)::BIGINT "trace", sum(v*v)::BIGINT square FROM l GROUP BY 1""")
 def l1_moments(spark, sf_dir):
-    """The same of L_1: both halves of the operator are joins of the boundary with itself."""
-    return boundary.moments(boundary.laplacian(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS), 1, closed=True, upper=True), upper=True)
+    """The same of L_1, from counts of triangles on edges and of edges at vertices."""
+    return boundary.edge_moments(X.rips_complex(clouds(spark, sf_dir), 2, RADIUS))
 
 
 @query(f"""WITH RECURSIVE {EDGES}{ROOTS}, g AS (SELECT label, v, count(*) k FROM (SELECT label, s v FROM e UNION ALL SELECT label, t FROM e) GROUP BY 1,2),
@@ -149,7 +145,7 @@ def l0_series(spark, sf_dir):
 @query(f"WITH {EDGES}, z AS (SELECT label, s.scale, e.s, e.t FROM e JOIN (VALUES " + ",".join(f"({s}::DOUBLE)" for s in SCALES) + ") s(scale) ON d<=s.scale) SELECT label cloud_id, scale, i, j, sum(v)::BIGINT v FROM (SELECT label, scale, s i, s j, 1 v FROM z UNION ALL SELECT label, scale, t, t, 1 FROM z UNION ALL SELECT label, scale, s, t, -1 FROM z UNION ALL SELECT label, scale, t, s, -1 FROM z) GROUP BY 1,2,3,4")
 def l0_entries(spark, sf_dir):
     """Entries of L_0 at each scale from one pass over the edges."""
-    return boundary.graph_laplacian(P.pairs(clouds(spark, sf_dir), RADIUS), _scales(spark))
+    return boundary.graph_laplacian(P.pairs(clouds(spark, sf_dir), RADIUS), SCALES)
 
 
 @query(f"WITH {EDGES}, m AS (SELECT label, min(vec_id) v FROM p GROUP BY 1) SELECT e.label cloud_id, 2*count(*) \"trace\" FROM e JOIN m ON e.label=m.label AND e.s<>m.v AND e.t<>m.v GROUP BY 1")
@@ -216,16 +212,16 @@ def alpha_triangles(spark, sf_dir):
 def hyperdigraph_paths(spark, sf_dir):
     """Directed edges from lower to higher weight and the paths of two of them."""
     pts = clouds(spark, sf_dir)
-    edges = hyperdigraph.orient(P.pairs(pts, RADIUS), pts)
+    edges = hyperdigraph.orient(P.pairs(pts, RADIUS, weights=True))
     cells = hyperdigraph.path_complex(pts.select("cloud_id", F.col("point_id").alias("v")), edges, 2, max_hyperedges=None)
     return cells.where("dim > 0").select("topology_id", _text("cell").alias("cell"), F.round("birth", 6).alias("birth"))
 
 
 @query()
 def hyperdigraph_barcode(spark, sf_dir):
-    """Barcode of the path hyperdigraph of each cloud at a smaller radius, over GF(2)."""
+    """Barcode of the path hyperdigraph of each cloud, over GF(2)."""
     pts = clouds(spark, sf_dir)
-    edges = hyperdigraph.orient(P.pairs(pts, RADIUS / 2), pts)
+    edges = hyperdigraph.orient(P.pairs(pts, RADIUS, weights=True))
     return _bars(analysis.persistence(hyperdigraph.path_complex(pts.select("cloud_id", F.col("point_id").alias("v")), edges, 2), 1, "hyperdigraph"))
 
 
@@ -351,7 +347,7 @@ def bars_death(spark, sf_dir):
 @query(f"WITH {BARS}, s(scale) AS (VALUES (5.0::DOUBLE),(20.0::DOUBLE),(49.0::DOUBLE)) SELECT t.topology_id, t.dim, s.scale, count(b.birth) betti FROM (SELECT DISTINCT topology_id, dim FROM bars) t CROSS JOIN s LEFT JOIN bars b ON b.topology_id=t.topology_id AND b.dim=t.dim AND b.birth<=s.scale AND s.scale<b.death GROUP BY 1,2,3")
 def betti_curve(spark, sf_dir):
     """Bars alive at each scale."""
-    return barcodes.betti_at(_lineitem_bars(spark, sf_dir), spark.createDataFrame([(5.0,), (20.0,), (49.0,)], "scale double"))
+    return barcodes.betti_at(_lineitem_bars(spark, sf_dir), [5.0, 20.0, 49.0])
 
 
 @query(f"WITH {BARS} SELECT topology_id, dim, count(*) FILTER (birth<=20 AND death>25) betti FROM bars GROUP BY 1,2")
@@ -470,7 +466,7 @@ def streamed_windows(spark, sf_dir):
     """Windowed counts of a stream of events, run until all input is read."""
     import uuid
 
-    from ..operators.components import shared_folder
+    from ..storage import shared_folder
     from ..streaming.edges import transition_edges
 
     schema = _table(spark, sf_dir, "events").schema

@@ -7,9 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..errors import InputError, ResourceLimitError
 from ..functions import barcodes, spectra
 from ..operators import analysis, hyperdigraph, interaction, points as P, simplicial as X
+from ..storage import MOST_SCALES
 
-#: Scales of a series at most.
-MOST_SCALES = 256
 STATIONARY = ("min", "max", "mean", "zero_count", "energy")
 
 BUILDERS: dict = {}
@@ -32,10 +31,10 @@ def from_points(points: DataFrame, kind: str = "rips", **options) -> DataFrame:
 
 
 def _digraph(points: DataFrame, max_dim: int = 2, support: str = "complete", cutoff: float | None = None) -> DataFrame:
-    edges = P.pairs(points, cutoff) if support == "complete" else analysis.delaunay_edges(points)
+    edges = P.pairs(points, cutoff, weights=True) if support == "complete" else analysis.delaunay_edges(points)
     if support != "complete" and cutoff is not None:
         edges = edges.where(F.col("birth") <= cutoff)
-    return hyperdigraph.path_complex(points.select("cloud_id", F.col("point_id").alias("v")), hyperdigraph.orient(edges, points), max_dim)
+    return hyperdigraph.path_complex(points.select("cloud_id", F.col("point_id").alias("v")), hyperdigraph.orient(edges, None if support == "complete" else points), max_dim)
 
 
 register_builder("rips", X.rips_complex)
@@ -47,8 +46,7 @@ register_builder("hyperdigraph", _digraph)
 def analyze(cells: DataFrame, scales: list[float], max_dim: int = 1, kind: str = "simplicial", dims: list[int] | None = None) -> dict[str, DataFrame]:
     """intervals, betti at each scale and spectra at each scale."""
     bars = analysis.persistence(cells, max_dim, kind)
-    at = cells.sparkSession.createDataFrame([(float(s),) for s in scales], "scale double")
-    return {"intervals": bars, "betti": barcodes.betti_at(bars, at), "spectra": analysis.laplacian_spectra(cells, dims or list(range(max_dim + 1)), [(float(s), None) for s in scales], kind)}
+    return {"intervals": bars, "betti": barcodes.betti_at(bars, scales), "spectra": analysis.laplacian_spectra(cells, dims or list(range(max_dim + 1)), [(float(s), None) for s in scales], kind)}
 
 
 def analyze_stationary(cells: DataFrame, scale: float, dims: tuple[int, ...] = (0, 1), statistics: tuple[str, ...] = STATIONARY, kind: str = "simplicial", positive_only: bool = False, atol: float = 1e-8) -> DataFrame:
