@@ -128,3 +128,11 @@ def ten_statistics(x: Column, atol: float = 1e-8) -> Column:
     zero = F.size(F.filter(x, lambda v: F.abs(v) <= atol)).cast("double")
     values = [m, F.array_min(p) / m, F.aggregate(p, F.lit(0.0), lambda s, v: s + F.abs(v - m)) / F.size(p) / m, F.array_max(p) / m, quantile(p, 0.25), quantile(p, 0.5), quantile(p, 0.75), entropy(p)]
     return F.array(F.size(x).cast("double"), zero, *[F.when(F.size(p) > 0, v).otherwise(0.0) for v in values])
+
+
+def graph_entropy(spectra: DataFrame, base: float | None = None) -> DataFrame:
+    """(topology_id, graph_entropy) of complete spectra of L_0; a partial one is an error."""
+    x = F.col("eigenvalues")
+    if "complete" in spectra.columns:
+        x = F.when(F.col("complete"), x).otherwise(F.raise_error(F.lit("a spectrum is partial")).cast("array<double>"))
+    return spectra.select("topology_id", entropy(x, base).alias("graph_entropy"))

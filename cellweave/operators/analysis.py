@@ -153,3 +153,21 @@ def delaunay_edges(points: DataFrame) -> DataFrame:
     e = cells.select(F.col("topology_id").alias("cloud_id"), F.element_at("cell", 1).alias("src"), F.element_at("cell", 2).alias("dst"))
     e = e.join(at.withColumnRenamed("point_id", "src").withColumnRenamed("coords", "a"), ["cloud_id", "src"]).join(at.withColumnRenamed("point_id", "dst").withColumnRenamed("coords", "b"), ["cloud_id", "dst"])
     return e.select("cloud_id", "src", "dst", distance().alias("birth"))
+
+
+def truncated(cells: DataFrame, max_dim: int) -> DataFrame:
+    """(topology_id, truncated): whether a topology lacks the cells of dimension max_dim + 1 that its homology in max_dim needs."""
+    return cells.groupBy("topology_id").agg((F.max("dim") < max_dim + 1).alias("truncated"))
+
+
+def basis_labels(cells: DataFrame, dim: int, scale: float | None = None) -> DataFrame:
+    """(topology_id, labels): the cells of a dimension alive at scale in the order of the rows of its operator."""
+    alive = cells.where((F.col("dim") == dim) & (F.lit(True) if scale is None else F.col("birth") <= scale))
+    return alive.groupBy("topology_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("birth", "cell"))), lambda x: x.cell).alias("labels"))
+
+
+def path_compatible(vertices: DataFrame, edges: DataFrame, max_dim: int = 1) -> DataFrame:
+    """Intervals of H_0 and H_1 of directed edges(cloud_id, src, dst, birth) and the paths of two that they imply."""
+    from .hyperdigraph import path_complex
+
+    return persistence(path_complex(vertices, edges, max_dim + 1), max_dim, "hyperdigraph")

@@ -478,3 +478,6 @@ def streamed_windows(spark, sf_dir):
     q = rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+from . import catalog_formats, catalog_algebra  # noqa: E402, F401  they register further queries

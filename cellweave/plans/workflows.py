@@ -121,3 +121,14 @@ def fit_features(matrix: DataFrame, targets: DataFrame, task: str = "regression"
     if joined.where("label is null").limit(1).count() or not joined.limit(1).count():
         raise InputError("a sample has no target, or there are none")
     return (estimator or {"regression": GBTRegressor, "classification": GBTClassifier}[task](seed=0, **options)).fit(joined)
+
+
+def ensemble_mean(models: list, matrix: DataFrame) -> DataFrame:
+    """(sample_id, prediction): the mean of the predictions of fitted models for each row of the matrix."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = matrix.select("sample_id", array_to_vector("features").alias("features"))
+    for k, model in enumerate(models):
+        rows = model.transform(rows).withColumnRenamed("prediction", f"prediction_{k}").select("sample_id", "features", *[f"prediction_{j}" for j in range(k + 1)])
+    total = sum((F.col(f"prediction_{k}") for k in range(1, len(models))), F.col("prediction_0"))
+    return rows.select("sample_id", (total / len(models)).alias("prediction"))

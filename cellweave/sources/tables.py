@@ -6,7 +6,7 @@ import json
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VERSION = 1
 
@@ -59,3 +59,10 @@ def load_result(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], d
     if meta["version"] != VERSION:
         raise ValueError(f"version {meta['version']} is unknown")
     return {n: spark.read.parquet(f"{path}/{n}") for n in meta["tables"]}, from_jsonable(meta["metadata"])
+
+
+def compact(results: DataFrame, provenance: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(results with meta_id in place of the provenance columns, meta(meta_id, ...)): each distinct provenance is kept once."""
+    name = F.sha2(F.to_json(F.struct(*provenance), {"ignoreNullFields": "false"}), 256)
+    named = results.withColumn("meta_id", name)
+    return named.drop(*provenance), named.select("meta_id", *provenance).distinct()
