@@ -6,8 +6,8 @@ are 64-bit fingerprints; what a doubling needs of them is which are equal, so eq
 brought together by sorting fingerprints in buckets, and positions whose rank is unique leave.
 
 Positions are thinned without loss: a 50-byte window is stood for by the leftmost smallest
-25-byte rank within it (its anchor), which equal windows share. Blocks of documents and buckets
-of ranks exchange packed, sorted lists in three rounds:
+25-byte rank within it, by its first 16 bits (its anchor), which equal windows share. Blocks of
+documents and buckets of ranks exchange packed, sorted lists in three rounds:
 
 1. Rank at 25 bytes of each anchor. A bucket answers which occur in more than one block.
 2. Rank of an anchor's whole run of windows (joined from ranks at 50) and its smallest
@@ -40,13 +40,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import blocks
-from .common import buffers, differ, ranges, text_bytes, unpacked
+from .common import buffers, differ, ranges, slices, text_bytes
 
 LENGTH = 50
 HALF = LENGTH // 2
-#: UTF-8 bytes of text for each block and for each bucket, about, and window starts that are worked on at a time.
-BLOCK_BYTES, PIECE = 8 << 20, 1 << 19
+#: UTF-8 bytes of text for each block, about, and that are dealt to blocks at a time; window starts that are worked on at
+#: a time (their ranks fit a core's cache, their places 16 bits).
+BLOCK_BYTES, DEAL_BYTES, PIECE = 8 << 20, 32 << 20, 1 << 14
+#: Each block has a list for each bucket: there are as many buckets as blocks up to FEW, later one for BUCKET_BLOCKS blocks.
+FEW, BUCKET_BLOCKS = 128, 4
 
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _M, _S = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB), np.uint64(29)
@@ -87,29 +89,29 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, at: np.ndarray):
     """Yield (rank at the anchor, text, first window, last window, rank of the run) by pieces of data."""
+    walls = np.unique(np.concatenate([at[:-1], at[1:] - LENGTH + 1]))  # where the windows inside a text begin, and end
     for base in range(0, max(0, len(data) - LENGTH + 1), PIECE):
         piece = data[base : base + PIECE + LENGTH - 1]
         half = ranks(piece)
         whole = _join(half, HALF, half)
-        whole *= _M
-        whole ^= whole >> np.uint64(31)
-        key = (half & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(half), dtype=np.uint64)
-        low = (_lowest(key, LENGTH - HALF + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        start = np.arange(len(low))
-        text = np.searchsorted(at, start + base, "right") - 1
-        ok = np.flatnonzero(start + base + LENGTH <= at[text + 1])
-        if not len(ok):
-            continue
-        low, text = low[ok], text[ok]
-        new = np.ones(len(ok), bool)
-        new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(ok)) - 1
-        first, last = ok[begin], ok[end]
-        run = whole[first] * _A
-        run += whole[last] ^ (last - first).astype(np.uint64) * _M
+        key = (half >> np.uint64(48)).astype(np.uint32) << np.uint32(16)
+        key |= np.arange(len(half), dtype=np.uint32)
+        low = _lowest(key, LENGTH - HALF + 1) & np.uint32(0xFFFF)
+        new = np.ones(len(low), bool)
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        new[walls[np.searchsorted(walls, base) : np.searchsorted(walls, base + len(low))] - base] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(low)) - 1
+        text = np.searchsorted(at, first + base, "right") - 1
+        ok = first + base + LENGTH <= at[text + 1]
+        first, last, text = first[ok], last[ok], text[ok]
+        ends = whole[np.stack([first, last])] * _M
+        ends ^= ends >> np.uint64(31)
+        run = ends[0] * _A
+        run += ends[1] ^ (last - first).astype(np.uint64) * _M
         run ^= run >> _S
-        yield half[low[begin]], text[begin], first + base, last + base, run * _M
+        # Smallest ranks begin with zeros; the product, which is one to one, deals them evenly.
+        yield half[low[first]] * _A, text, first + base, last + base, run * _M
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -130,14 +132,34 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _dealt(docs: DataFrame, n: int) -> DataFrame:
+    """(block, docs): rows of packed texts. Rows that share a doc_id, or have none, are spread by their texts."""
+
+    def dealt(batches):
+        for batch in batches:
+            for part in slices(batch, 1, DEAL_BYTES):
+                home, ids, (data, at) = np.array(part.column(2)), part.column(0), buffers(part.column(1))
+                order = np.argsort(home, kind="stable")
+                names, cut = np.unique(home[order], return_index=True)
+                unknown, ids, lengths = np.array(ids.is_null()), np.array(ids.fill_null(0)), np.diff(at)
+                raw, begin, end = memoryview(data), at[:-1].tolist(), at[1:].tolist()
+                pieces = [_squeeze((ids[x], unknown[x], lengths[x], b"".join([raw[begin[i] : end[i]] for i in x.tolist()]))) for x in np.split(order, cut[1:])]
+                yield pa.record_batch([pa.array(names, pa.int32()), pa.array(pieces, pa.binary())], ["block", "docs"])
+
+    home = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
+    return docs.select("doc_id", "text", home).mapInArrow(dealt, "block int, docs binary")
+
+
 def _texts(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, whether known, bytes, offsets) of a block, in the order of doc_id and text, which is the same in every round."""
-    batches = [b for blob in group.column("docs") for b in unpacked(blob.as_buffer())]
-    table = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    ids = table.column("doc_id").combine_chunks()
-    known = ~np.array(ids.is_null())
-    data, at = buffers(table.column("text").cast(pa.large_binary()))
-    return np.array(ids.fill_null(0)), known, data, at
+    rows = []
+    for blob in group.column("docs"):
+        ids, unknown, lengths, raw = _unsqueeze(blob.as_buffer())
+        ends = np.cumsum(lengths).tolist()
+        rows += zip(unknown.tolist(), ids.tolist(), [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)])
+    rows.sort()
+    at = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows], dtype=np.int64)])
+    return np.array([r[1] for r in rows], np.int64), ~np.array([r[0] for r in rows], bool), np.frombuffer(b"".join([r[2] for r in rows]), np.uint8), at
 
 
 def _all(group: pa.Table):
@@ -180,9 +202,15 @@ class _Rounds:
 
     def answer_ranks(self, group: pa.Table) -> pa.Table:
         lists = [_unpack(x)[0] for x in group.column("list").to_pylist()]
-        every = np.sort(np.concatenate(lists))
-        again = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = [np.packbits(np.isin(x, again, assume_unique=True)).tobytes() for x in lists]
+        every = np.concatenate(lists)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        twin = every[1:] == every[:-1]
+        again = np.zeros(len(every), bool)
+        again[order[1:]] = twin
+        again[order[:-1]] |= twin
+        ends = np.cumsum([len(x) for x in lists]).tolist()
+        bits = [np.packbits(again[a:b]).tobytes() for a, b in zip([0, *ends[:-1]], ends)]
         return _rows(group.column("bucket"), group.column("block"), bits)
 
     def list_runs(self, group: pa.Table, answers: pa.Table) -> pa.Table:
@@ -221,11 +249,11 @@ class _Rounds:
         ranks_of = np.cumsum(of_g) - 1
         mixed = (np.bincount(ranks_of[of_run]) > 1)[ranks_of]
         ask = mixed & (doc == least)
-        out = []
-        for k in range(len(lists)):
-            at = np.flatnonzero((source == k) & (ask | (least < doc)))
-            at = at[np.argsort(run[at], kind="stable")]
-            out.append(_pack(run[at], least[at].view(np.uint64), ask[at]))
+        told = np.flatnonzero(ask | (least < doc))
+        told = told[np.lexsort((run[told], source[told]))]
+        ends = np.searchsorted(source[told], np.arange(len(lists)), "right").tolist()
+        run, least, ask = run[told], least[told].view(np.uint64), ask[told]
+        out = [_pack(run[a:b], least[a:b], ask[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
         return _rows(group.column("bucket"), group.column("block"), out)
 
     def list_windows(self, group: pa.Table, answers: pa.Table) -> pa.Table:
@@ -267,8 +295,8 @@ class _Rounds:
             return group.select(["bucket", "block", "list"])
         lists = [_unsqueeze(x) for x in group.column("list").to_pylist()]
         doc = np.concatenate([np.repeat(x[1], x[0]) for x in lists])
-        rank = np.concatenate([h for n, _, raw in lists for h in _window_ranks(n.astype(np.int64), raw)])
-        inverse = _by_bytes(rank, [x[0].astype(np.int64) for x in lists], b"".join(x[2] for x in lists))
+        n, raw = [x[0].astype(np.int64) for x in lists], b"".join([x[2] for x in lists])
+        inverse = _by_bytes(np.concatenate(list(_window_ranks(np.concatenate(n), raw))), n, raw)
         names = np.arange(inverse.max(initial=-1) + 1)
         least = np.full(len(names), 2**63 - 1)
         np.minimum.at(least, inverse, doc)
@@ -305,7 +333,7 @@ def _squeeze(x) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x))
 
 
-def _unsqueeze(x: bytes):
+def _unsqueeze(x):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
@@ -352,8 +380,8 @@ def _kept(raw: bytes, spans: list) -> tuple:
 def _spans(docs: DataFrame, block_bytes: int, schema: str, told) -> DataFrame:
     total = text_bytes(docs)
     n = max(1, -(-total // block_bytes))
-    rounds = _Rounds(n, min(64, total.bit_length() + 14))
-    dealt = blocks(docs, n)
+    rounds = _Rounds(max(min(n, FEW), -(-n // BUCKET_BLOCKS)), min(64, total.bit_length() + 14))
+    dealt = _dealt(docs, n)
     types = pa.schema([])
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<struct<start:long,end:long>>": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
     for field in schema.split(", "):

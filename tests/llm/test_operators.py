@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -76,6 +77,48 @@ def test_op1_cases(spark):
     assert substrings.repeats(documents(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_op1_fewer_buckets_than_blocks(spark, small, monkeypatch):
+    monkeypatch.setattr(substrings, "FEW", 2)
+    truth = plain_repeats(sorted((r.doc_id, (r.text or "").encode()) for r in small.collect()))
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeats(small, 60_000).collect()}
+    assert got == truth
+
+
+def test_op1_buckets_are_even():
+    data = np.random.default_rng(0).integers(97, 123, 200_000, np.uint8)
+    g = np.concatenate([x[0] for x in substrings.anchors(data, np.array([0, len(data)]))])
+    counts = np.bincount(substrings._Rounds(64, 40).bucket(g), minlength=64)
+    assert len(g) > 10_000 and counts.max() < 1.5 * counts.mean()
+
+
+def test_op1_time_of_a_bucket_goes_with_its_entries_not_its_lists():
+    rounds, r = substrings._Rounds(1, 40), np.random.default_rng(0)
+    rank, doc = r.integers(0, 1 << 19, 400_000, np.uint64) * np.uint64(2_097_143), r.integers(0, 1000, 400_000, np.uint64)
+
+    def took(n):
+        of = [np.unique(np.stack([rank[k::n], rank[k::n] % np.uint64(3) + doc[k::n] % np.uint64(2), doc[k::n]]), axis=1) for k in range(n)]
+        ranks = [np.unique(x[0]) for x in of]
+        asked = substrings._rows([0] * n, range(n), [substrings._pack(x) for x in ranks])
+        runs = substrings._rows([0] * n, range(n), [substrings._pack(*x) for x in of])
+        began = time.process_time()
+        one, two = rounds.answer_ranks(asked), rounds.answer_runs(runs)
+        seconds = time.process_time() - began
+        names, count = np.unique(np.concatenate(ranks), return_counts=True)
+        for x, blob in zip(ranks, one.column("list").to_pylist()):
+            assert (np.unpackbits(np.frombuffer(blob, np.uint8))[: len(x)] == (count > 1)[np.searchsorted(names, x)]).all()
+        least, kinds = {}, collections.defaultdict(set)
+        for g, run, d in np.concatenate(of, 1).T.tolist():
+            least[g, run] = min(d, least.get((g, run), d))
+            kinds[g].add(run)
+        for x, blob in list(zip(of, two.column("list").to_pylist()))[:3]:
+            told = [(run, least[g, run], int(len(kinds[g]) > 1 and d == least[g, run])) for g, run, d in x.T.tolist()]
+            want = sorted(t for t, (_, _, d) in zip(told, x.T.tolist()) if t[2] or t[1] < d)
+            assert sorted(zip(*[c.tolist() for c in substrings._unpack(blob)])) == want
+        return seconds
+
+    assert took(4000) < 1 + 4 * took(20)
+
+
 # 2 -----------------------------------------------------------------------------------------
 
 
