@@ -65,7 +65,7 @@ def test_components_of_points(cloud, small_blocks):
 
 
 #: Counts and sums: neither rows of pairs nor a kernel over a whole topology.
-COUNTED = ['l0_series', 'l0_spectrum']
+COUNTED = ['l0_series', 'l0_spectrum', 'interaction_cycles']
 
 
 @pytest.mark.parametrize("name", COUNTED)
