@@ -65,7 +65,7 @@ def test_components_of_points(cloud, small_blocks):
 
 
 #: Counts and sums: neither rows of pairs nor a kernel over a whole topology.
-COUNTED = ['l0_series', 'l0_spectrum', 'interaction_cycles', 'spectral_series', 'stationary', 'hyperdigraph_l0', 'hyperdigraph_persistent_l0', 'interaction_persistent_l0']
+COUNTED = ['l0_series', 'l0_spectrum', 'interaction_cycles', 'spectral_series', 'stationary', 'hyperdigraph_l0', 'hyperdigraph_persistent_l0', 'interaction_persistent_l0', 'higher_overlap']
 
 
 @pytest.mark.parametrize("name", COUNTED)
