@@ -72,3 +72,12 @@ COUNTED = ['l0_series', 'l0_spectrum', 'interaction_cycles', 'spectral_series',
 def test_counted(spark, name):
     text = plan(catalog.QUERIES[name](spark, DATA))
     assert "InPandas" not in text and "src" not in text
+
+
+#: Pairs and cells are sent as they are found: no exchange after the kernel that finds them.
+SENT = ['rips_edges']
+
+
+@pytest.mark.parametrize("name", SENT)
+def test_sent(spark, name):
+    assert "Exchange" not in plan(catalog.QUERIES[name](spark, DATA)).split("InArrow")[0]
