@@ -75,7 +75,7 @@ def test_counted(spark, name):
 
 
 #: Pairs and cells are sent as they are found: no exchange after the kernel that finds them.
-SENT = ['rips_edges']
+SENT = ['rips_edges', 'edge_cofaces']
 
 
 @pytest.mark.parametrize("name", SENT)
