@@ -65,7 +65,7 @@ def test_components_of_points(cloud, small_blocks):
 
 
 #: Counts and sums: neither rows of pairs nor a kernel over a whole topology.
-COUNTED = ['l0_series', 'l0_spectrum', 'interaction_cycles', 'spectral_series', 'stationary', 'hyperdigraph_l0', 'hyperdigraph_persistent_l0', 'interaction_persistent_l0', 'higher_overlap', 'interaction_bound', 'skeleton_f_vector', 'vertex_deleted_l0', 'regraded_edges', 'hyperdigraph_snapshot', 'coface_truncation', 'rips_summary', 'snapshot_counts', 'l1_moments', 'boundary_of_boundary', 'interaction_boundary_audit', 'protein_ligand_atoms', 'protein_protein_atoms', 'critical_scales']
+COUNTED = ['l0_series', 'l0_spectrum', 'interaction_cycles', 'spectral_series', 'stationary', 'hyperdigraph_l0', 'hyperdigraph_persistent_l0', 'interaction_persistent_l0', 'higher_overlap', 'interaction_bound', 'skeleton_f_vector', 'vertex_deleted_l0', 'regraded_edges', 'hyperdigraph_snapshot', 'coface_truncation', 'rips_summary', 'snapshot_counts', 'l1_moments', 'boundary_of_boundary', 'interaction_boundary_audit', 'protein_ligand_atoms', 'protein_protein_atoms', 'critical_scales', 'distance_matrix_triangles']
 
 
 @pytest.mark.parametrize("name", COUNTED)
