@@ -81,3 +81,12 @@ SENT = ['rips_edges', 'edge_cofaces', 'bounded_filtration', 'masked_edges', 'adj
 @pytest.mark.parametrize("name", SENT)
 def test_sent(spark, name):
     assert "Exchange" not in plan(catalog.QUERIES[name](spark, DATA)).split("InArrow")[0]
+
+
+def test_ranks_over_fields():
+    from cellweave.kernels import homology as H
+
+    plane = [(0, 1, 3), (0, 1, 5), (0, 2, 3), (0, 2, 4), (0, 4, 5), (1, 2, 4), (1, 2, 5), (1, 3, 4), (2, 3, 5), (3, 4, 5)]
+    cells = {c: 0.0 for t in plane for c in (t, *(t[:k] + t[k + 1 :] for k in range(3)), *((v,) for v in t))}
+    found = {p: H.betti(*H.simplicial(list(cells.items()), p), 2, p) for p in (0, 2, 3)}
+    assert found == {0: [1, 0, 0], 2: [1, 1, 1], 3: [1, 0, 0]}
