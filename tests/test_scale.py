@@ -90,3 +90,10 @@ def test_ranks_over_fields():
     cells = {c: 0.0 for t in plane for c in (t, *(t[:k] + t[k + 1 :] for k in range(3)), *((v,) for v in t))}
     found = {p: H.betti(*H.simplicial(list(cells.items()), p), 2, p) for p in (0, 2, 3)}
     assert found == {0: [1, 0, 0], 2: [1, 1, 1], 3: [1, 0, 0]}
+
+
+def test_ties_in_order_of_ids(spark):
+    from cellweave.operators import hyperdigraph
+
+    line = spark.createDataFrame([("c", k, [x]) for k, x in ((5, 1.0), (3, 1.0), (4, 0.0))], "cloud_id string, point_id long, coords array<double>")
+    assert {(r.src, r.dst) for r in hyperdigraph.consecutive(line.coalesce(1)).collect()} == {(4, 3), (3, 5)}
