@@ -75,7 +75,7 @@ def test_counted(spark, name):
 
 
 #: Pairs and cells are sent as they are found: no exchange after the kernel that finds them.
-SENT = ['rips_edges', 'edge_cofaces', 'bounded_filtration', 'masked_edges', 'adjacency_bonds', 'l0_entries', 'line_edges', 'numbered_cells', 'boundary_entries']
+SENT = ['rips_edges', 'edge_cofaces', 'bounded_filtration', 'masked_edges', 'adjacency_bonds', 'l0_entries', 'line_edges', 'numbered_cells', 'boundary_entries', 'rips_triangles', 'hyperdigraph_paths']
 
 
 @pytest.mark.parametrize("name", SENT)
